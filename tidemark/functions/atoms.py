@@ -19,7 +19,8 @@ def _col(c: str | Column) -> Column:
 
 def render(functor, name, args, time) -> Column:
     """``functor(name(arg,...),time)``."""
-    functor = F.lit(functor) if functor in (HAPPENS, HOLDS) else _col(functor)
+    constant = isinstance(functor, str) and functor in (HAPPENS, HOLDS)
+    functor = F.lit(functor) if constant else _col(functor)
     return F.concat(functor, F.lit("("), term(name, args), F.lit(","), _col(time).cast("string"), F.lit(")"))
 
 

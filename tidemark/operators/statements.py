@@ -102,17 +102,19 @@ def activity_label(name: Column) -> Column:
 def person_pairs(name: Column, persons: Column) -> Column:
     """All ordered pairs of the members of one statement, by position.
 
-    An object is left by the first member and concerns the second only.
+    Each two members in both orders, one after the other. An object is left by the first member and concerns the second only.
     """
     listed = F.transform(persons, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    every = F.flatten(
-        F.transform(
-            listed,
-            lambda a: F.transform(
-                F.filter(listed, lambda b: b["i"] != a["i"]), lambda b: F.array(a["p"], b["p"])
-            ),
-        )
+    both_ways = F.transform(
+        listed,
+        lambda a: F.flatten(
+            F.transform(
+                F.filter(listed, lambda b: b["i"] > a["i"]),
+                lambda b: F.array(F.array(a["p"], b["p"]), F.array(b["p"], a["p"])),
+            )
+        ),
     )
+    every = F.flatten(both_ways)
     first_two = F.when(F.size(persons) >= 2, F.array(F.slice(persons, 1, 2)))
     return F.when(name == ORDERED_PAIR_ACTIVITY, first_two).otherwise(every)
 

@@ -29,7 +29,7 @@ from tidemark.plans import vessel_batches as V
 from tidemark.session import shared_folder, stage_in
 from tidemark.sinks import writers
 from tidemark.sources import recordings as R
-from tidemark.sources import tables as ST_TABLES
+from tidemark.sources import tables as sources
 from tidemark.sources import vessels
 from workload import tables as T
 
@@ -273,3 +273,1190 @@ def _(spark, sf):
         .groupBy("role", "name")
         .agg(F.count("*").alias("atoms"), F.countDistinct("batch_id").alias("batches"))
     )
+
+
+# --------------------------------------------------------------------------
+# Intervals joined with batches and time points
+# --------------------------------------------------------------------------
+
+
+def _bounds(spark, sf):
+    return batching.batch_bounds(_times(spark, sf))
+
+
+@query(
+    "overlap_join",
+    ["crossed"],
+    "SELECT batch_id, seq, hle, stime, etime FROM crossed",
+)
+def _(spark, sf):
+    return I.overlap_join(T.intervals(spark, sf), _bounds(spark, sf)).select(
+        "batch_id", "seq", "hle", "stime", "etime"
+    )
+
+
+@query(
+    "overlap_join_closed",
+    ["bounds", "intervals"],
+    "SELECT b.batch_id, i.seq, i.hle, i.stime, i.etime FROM bounds b JOIN intervals i"
+    " ON i.stime <= b.batch_end AND i.etime >= b.batch_start",
+)
+def _(spark, sf):
+    return I.overlap_join(T.intervals(spark, sf), _bounds(spark, sf), closed=True).select(
+        "batch_id", "seq", "hle", "stime", "etime"
+    )
+
+
+@query(
+    "contain_join",
+    ["points", "intervals"],
+    "SELECT p.seq AS point, i.seq AS interval_seq, p.time, i.hle FROM points p JOIN intervals i"
+    " ON i.stime < p.time AND p.time < i.etime",
+)
+def _(spark, sf):
+    points = T.points(spark, sf).select(F.col("seq").alias("point"), "time")
+    found = I.contain_join(points, T.intervals(spark, sf).select("seq", "hle", "stime", "etime"))
+    return found.select("point", F.col("seq").alias("interval_seq"), "time", "hle")
+
+
+@query(
+    "interval_clip",
+    ["crossed"],
+    """SELECT batch_id, seq, greatest(stime, batch_start) AS clip_start, least(etime, batch_end) AS clip_end,
+ CASE WHEN batch_start < stime AND batch_end > stime THEN stime ELSE batch_start END AS window_start,
+ CASE WHEN batch_start < stime AND batch_end > stime THEN batch_end
+      WHEN batch_start >= stime AND batch_end > etime THEN etime ELSE batch_end END AS window_end FROM crossed""",
+)
+def _(spark, sf):
+    bounds = _bounds(spark, sf)
+    found = I.overlap_join(T.intervals(spark, sf), bounds).join(
+        bounds.select("batch_id", "batch_start", "batch_end"), "batch_id"
+    )
+    ends = [F.col(c) for c in ("stime", "etime", "batch_start", "batch_end")]
+    (a, b), (c, d) = I.clip(*ends), I.window_clip(*ends)
+    return found.select(
+        "batch_id",
+        "seq",
+        a.alias("clip_start"),
+        b.alias("clip_end"),
+        c.alias("window_start"),
+        d.alias("window_end"),
+    )
+
+
+def _interval_text(frame, kind):
+    return V.interval_atoms(frame, kind, OPTIONS).select(
+        "batch_id", "seq", "time", A.render("functor", "name", "args", "time").alias("atom")
+    )
+
+
+@query(
+    "start_atoms",
+    ["batch_rows"],
+    "SELECT batch_id, seq, time, atom FROM batch_rows WHERE kind = 1",
+)
+def _(spark, sf):
+    starts = _batches(spark, sf).starts
+    return _interval_text(starts.withColumn("time", F.col("stime")), V.START)
+
+
+@query("end_atoms", ["batch_rows"], "SELECT batch_id, seq, time, atom FROM batch_rows WHERE kind = 2")
+def _(spark, sf):
+    ends = _batches(spark, sf).ends
+    return _interval_text(ends.withColumn("time", F.col("etime")), V.END)
+
+
+@query("batch_times", ["t2"], "SELECT batch_id, time FROM t2")
+def _(spark, sf):
+    return _batches(spark, sf).times.select("batch_id", "time")
+
+
+@query(
+    "next_pairs",
+    ["t2"],
+    "SELECT * FROM (SELECT batch_id, time, lag(time) OVER (PARTITION BY batch_id ORDER BY time) AS earlier FROM t2)"
+    " WHERE earlier IS NOT NULL",
+)
+def _(spark, sf):
+    return I.next_pairs(_batches(spark, sf).times)
+
+
+# --------------------------------------------------------------------------
+# Scans of vessel text files, rendered from the tables and read back
+# --------------------------------------------------------------------------
+
+
+def _point_lines(spark, sf):
+    """Point-event text in all layouts: area events, positions, velocities, pairs."""
+    folder = shared_folder(spark, "points")
+    T.points(spark, sf).select(
+        F.expr(
+            """CASE lle
+ WHEN 'click' THEN concat_ws('|', 'coord', time, time, vessel, -4.5D + (seq % 100) / 100.0D, 48.0D + (seq % 70) / 100.0D)
+ WHEN 'view' THEN concat_ws('|', CASE WHEN seq % 2 = 0 THEN 'entersArea' ELSE 'leavesArea' END, time, concat('a', seq % 50), vessel)
+ WHEN 'error' THEN concat_ws('|', 'velocity', time, time, vessel, '19.30', '31.39', '35.54')
+ WHEN 'signup' THEN concat_ws('|', 'proximity', time, time - 10, time, 'true', vessel, concat(vessel, 'b'))
+ ELSE concat_ws('|', 'gap_start', time, time, vessel) END"""
+        ).alias("value")
+    ).write.text(folder)
+    return vessels.read_fields(spark, folder)
+
+
+@query(
+    "scan_points",
+    ["points"],
+    """SELECT CASE lle WHEN 'view' THEN CASE WHEN seq % 2 = 0 THEN 'entersArea' ELSE 'leavesArea' END
+ WHEN 'signup' THEN 'proximity' ELSE 'gap_start' END AS lle, time,
+ CASE WHEN lle = 'signup' THEN concat(vessel, ',', vessel, 'b') ELSE vessel END AS vessel,
+ CASE WHEN lle = 'view' THEN concat('a', seq % 50) END AS area
+ FROM points WHERE lle IN ('view', 'signup', 'purchase')""",
+)
+def _(spark, sf):
+    return vessels.point_events(_point_lines(spark, sf)).select("lle", "time", "vessel", "area")
+
+
+@query("scan_coords", ["coords"], "SELECT time, vessel, lon, lat FROM coords")
+def _(spark, sf):
+    return vessels.positions(_point_lines(spark, sf))
+
+
+@query(
+    "drop_unused",
+    ["points"],
+    "SELECT seq, time, vessel FROM points WHERE lle NOT IN ('click', 'error')",
+)
+def _(spark, sf):
+    renamed = T.points(spark, sf).withColumn(
+        "lle", F.expr("CASE lle WHEN 'click' THEN 'coord' WHEN 'error' THEN 'velocity' ELSE lle END")
+    )
+    return renamed.where(~F.col("lle").isin(*config.UNUSED_EVENTS)).select("seq", "time", "vessel")
+
+
+def _interval_lines(spark, sf):
+    """Interval text; some lines have an unknown name, some an area."""
+    folder = shared_folder(spark, "intervals")
+    T.intervals(spark, sf).select(
+        F.expr(
+            """concat_ws('|', CASE WHEN seq % 13 = 0 THEN 'flying' WHEN seq % 7 = 0 THEN 'withinArea' ELSE hle END, vessels[0],
+ CASE WHEN seq % 7 = 0 THEN 'fishing' WHEN size(vessels) > 1 THEN get(vessels, 1) ELSE ' ' END, value, stime, etime)"""
+        ).alias("value")
+    ).write.text(folder)
+    return vessels.read_fields(spark, folder)
+
+
+_ARITY = """SELECT CASE WHEN seq % 7 = 0 THEN 'withinArea' ELSE hle END AS hle,
+ concat_ws(',', v1, CASE WHEN seq % 7 = 0 THEN 'fishing' ELSE v2 END) AS vessels, value, stime, etime
+ FROM intervals WHERE seq % 13 <> 0"""
+
+
+@query(
+    "scan_intervals",
+    ["intervals"],
+    f"SELECT * FROM ({_ARITY}) WHERE hle IN ('stopped', 'rendezVous', 'lowSpeed')",
+)
+def _(spark, sf):
+    names = ("stopped", "rendezVous", "lowSpeed")
+    return vessels.interval_events(_interval_lines(spark, sf), names).select(
+        "hle", F.concat_ws(",", "vessels").alias("vessels"), "value", "stime", "etime"
+    )
+
+
+@query("interval_arity", ["intervals"], _ARITY)
+def _(spark, sf):
+    return vessels.interval_events(_interval_lines(spark, sf)).select(
+        "hle", F.concat_ws(",", "vessels").alias("vessels"), "value", "stime", "etime"
+    )
+
+
+@query(
+    "interval_rejects",
+    ["intervals"],
+    "SELECT 'flying' AS hle, count(*) AS n FROM intervals WHERE seq % 13 = 0 HAVING count(*) > 0",
+)
+def _(spark, sf):
+    rejects = vessels.interval_rejects(_interval_lines(spark, sf))
+    return rejects.groupBy(F.get("fields", F.lit(0)).alias("hle")).agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------
+# Atoms
+# --------------------------------------------------------------------------
+
+
+@query(
+    "event_filter",
+    ["points"],
+    "SELECT seq, lle, time, vessel FROM points WHERE lle IN ('signup', 'purchase')",
+)
+def _(spark, sf):
+    points = T.points(spark, sf)
+    return points.where(F.col("lle").isin("signup", "purchase")).select("seq", "lle", "time", "vessel")
+
+
+@query(
+    "lle_atoms",
+    ["points"],
+    "SELECT seq, concat('happensAt(', lle, '(', vessel, '),', time, ')') AS atom FROM points",
+)
+def _(spark, sf):
+    return T.points(spark, sf).select(
+        "seq", A.render(A.HAPPENS, "lle", A.point_args(), "time").alias("atom")
+    )
+
+
+@query(
+    "lle_atoms_mln",
+    ["points"],
+    "SELECT seq, concat('HappensAt(', upper(lle[1]), lle[2:], '_', vessel, ',', time, ')') AS atom FROM points",
+)
+def _(spark, sf):
+    return T.points(spark, sf).select(
+        "seq", A.render_mln("lle", A.point_args(), "time").alias("atom")
+    )
+
+
+@query(
+    "area_atoms",
+    ["points"],
+    "SELECT seq, concat('happensAt(', CASE WHEN seq % 2 = 0 THEN 'entersArea' ELSE 'leavesArea' END,"
+    " '(', vessel, ',a', seq % 50, '),', time, ')') AS atom FROM points WHERE lle = 'view'",
+)
+def _(spark, sf):
+    areas = T.points(spark, sf).where("lle = 'view'").selectExpr(
+        "seq",
+        "CASE WHEN seq % 2 = 0 THEN 'entersArea' ELSE 'leavesArea' END AS lle",
+        "time",
+        "vessel",
+        "concat('a', seq % 50) AS area",
+    )
+    return areas.select("seq", A.render(A.HAPPENS, "lle", A.point_args(), "time").alias("atom"))
+
+
+_ATOM_AT_START = _FORWARD.replace("time", "stime")
+
+
+@query("interval_atoms", ["intervals"], f"SELECT seq, {_ATOM_AT_START} AS atom FROM intervals")
+def _(spark, sf):
+    return T.intervals(spark, sf).select(
+        "seq",
+        A.render(
+            A.interval_functor("hle", T.TARGETS), "hle", A.interval_args(), "stime"
+        ).alias("atom"),
+    )
+
+
+@query(
+    "symmetric_atoms",
+    ["intervals"],
+    f"SELECT seq, {_ATOM_AT_START} AS atom FROM intervals UNION ALL"
+    f" SELECT seq, {_BACKWARD.replace('time', 'stime')} FROM intervals WHERE hle = 'rendezVous'",
+)
+def _(spark, sf):
+    sides = T.intervals(spark, sf).select("*", F.explode(A.mirrored()).alias("side"))
+    return sides.select(
+        "seq",
+        A.render(
+            A.interval_functor("hle", T.TARGETS), "hle", A.interval_args("side"), "stime"
+        ).alias("atom"),
+    )
+
+
+# --------------------------------------------------------------------------
+# Noise and geometry
+# --------------------------------------------------------------------------
+
+
+@query(
+    "noise_anti_join",
+    ["points", "coords"],
+    "SELECT seq, lle, time, vessel FROM points p WHERE NOT EXISTS"
+    " (SELECT 1 FROM coords c WHERE c.vessel = p.vessel AND c.time = p.time)",
+)
+def _(spark, sf):
+    points = T.points(spark, sf).select("seq", "lle", "time", "vessel")
+    return noise.drop_located(points, T.coords(spark, sf), points["vessel"], points["time"])
+
+
+@query(
+    "noise_interval",
+    ["points", "intervals", "coords"],
+    "SELECT p.time, i.seq, i.hle FROM (SELECT DISTINCT time FROM points) p JOIN intervals i ON i.stime < p.time AND p.time < i.etime"
+    " WHERE NOT (i.hle IN ('stopped', 'lowSpeed') AND EXISTS (SELECT 1 FROM coords c WHERE c.vessel = i.v1 AND c.time = p.time))",
+)
+def _(spark, sf):
+    times = T.points(spark, sf).select("time").distinct()
+    found = I.contain_join(times, T.intervals(spark, sf))
+    kept = noise.drop_located_intervals(found, T.coords(spark, sf), ("stopped", "lowSpeed"))
+    return kept.select("time", "seq", "hle")
+
+
+def _haversine_sql(lat1, lon1, lat2, lon2):
+    return (
+        f"2 * 6372.8 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))"
+    )
+
+
+@query(
+    "haversine",
+    ["coords"],
+    f"SELECT vessel, time, round({_haversine_sql('lat', 'lon', '48.118046', '-4.3472633')}, 6) AS km FROM coords",
+)
+def _(spark, sf):
+    there = F.lit(48.118046), F.lit(-4.3472633)
+    return T.coords(spark, sf).select(
+        "vessel", "time", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), *there), 6).alias("km")
+    )
+
+
+define(
+    "segments",
+    ["coastline"],
+    "SELECT * FROM (SELECT pos, x AS x1, y AS y1, lead(x) OVER (PARTITION BY ring ORDER BY pos) AS x2,"
+    " lead(y) OVER (PARTITION BY ring ORDER BY pos) AS y2 FROM coastline) WHERE x2 IS NOT NULL",
+)
+
+
+def _coast_file(spark, sf):
+    """The coastline as geometry text, one line per ring of 50 vertices."""
+    folder = shared_folder(spark, "coast")
+    vertex = F.struct("pos", F.concat("x", F.lit(" "), "y").alias("xy"))
+    rings = T.coastline(spark, sf).groupBy("ring").agg(F.sort_array(F.collect_list(vertex)).alias("line"))
+    line = F.array_join(F.transform("line", lambda v: v["xy"]), ", ")
+    rings.select(F.concat(F.lit("POLYGON (("), line, F.lit("))")).alias("value")).write.text(folder)
+    return vessels.coastline_vertices(spark, folder)
+
+
+@query(
+    "coast_segments",
+    ["segments"],
+    "SELECT round(x1, 9) AS x1, round(y1, 9) AS y1, round(x2, 9) AS x2, round(y2, 9) AS y2 FROM segments",
+)
+def _(spark, sf):
+    segments = coast.coast_segments(_coast_file(spark, sf))
+    return segments.select(*[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(
+    "coast_distance",
+    ["coords", "segments"],
+    f"""SELECT vessel, time, round(1000 * arg_min({_haversine_sql('lat', 'lon', 'ny', 'nx')}, d2), 3) AS dist_m FROM
+ (SELECT vessel, time, lon, lat, nx, ny, (lon - nx) * (lon - nx) + (lat - ny) * (lat - ny) AS d2 FROM
+ (SELECT *, x1 + u * (x2 - x1) AS nx, y1 + u * (y2 - y1) AS ny FROM
+ (SELECT *, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS u
+ FROM coords CROSS JOIN segments))) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    segments = coast.coast_segments(T.coastline(spark, sf))
+    return coast.coast_distance(T.coords(spark, sf), segments).select(
+        "vessel", "time", F.round("dist_m", 3).alias("dist_m")
+    )
+
+
+# --------------------------------------------------------------------------
+# Recording statements
+# --------------------------------------------------------------------------
+
+_NUM = "CAST({0} AS VARCHAR)"
+define(
+    "said",
+    ["statements"],
+    "SELECT video, seq, CAST(i - 1 AS BIGINT) AS place, list_extract(texts, i) AS text FROM"
+    " (SELECT video, seq, texts, unnest(range(1, len(texts) + 1)) AS i FROM"
+    " (SELECT video, seq, regexp_extract_all(statement, '(?:happens(?:At)?|holdsAt)\\([a-z_]+\\(.*?\\)[^()]*(?:\\([^()]*\\))?,[0-9]+\\)') AS texts"
+    " FROM statements WHERE NOT contains(statement, 'flying')))",
+)
+define(
+    "parsed",
+    ["said"],
+    """SELECT video, seq, place, text, regexp_extract(text, '^[A-Za-z]+\\(([a-z_]+)', 1) AS name,
+ CAST(regexp_extract(text, ',([0-9]+)\\)$', 1) AS BIGINT) AS time,
+ CASE WHEN contains(text, '[') THEN string_split(regexp_extract(text, '\\[(.*)\\]', 1), ',')
+      ELSE [regexp_extract(text, '\\((id[0-9]+)\\)', 1)] END AS persons FROM said""",
+)
+
+
+def _parsed(spark, sf):
+    return ST.parse_statements(T.statements(spark, sf))
+
+
+def _of_kind(spark, sf, kind):
+    return _parsed(spark, sf).where(F.col("kind") == kind)
+
+
+@query(
+    "parse_annotation",
+    ["parsed"],
+    "SELECT seq, time, name, array_to_string(persons, ',') AS persons FROM parsed WHERE contains(text, '[')",
+)
+def _(spark, sf):
+    return _of_kind(spark, sf, "activity").select(
+        "seq", "time", "name", F.concat_ws(",", "persons").alias("persons")
+    )
+
+
+@query(
+    "parse_movement",
+    ["parsed"],
+    "SELECT seq, place, time, name, persons[1] AS person FROM parsed WHERE name IN ('walking', 'active', 'inactive', 'running', 'abrupt')",
+)
+def _(spark, sf):
+    return _of_kind(spark, sf, "movement").select(
+        "seq", F.col("place").cast("bigint").alias("place"), "time", "name", F.col("persons")[0].alias("person")
+    )
+
+
+@query(
+    "parse_orientation",
+    ["recordings"],
+    "SELECT seq, time, concat('orientation(', id, ',', seq % 360, ',', time, ')') AS atom FROM recordings WHERE kind = 'view'",
+)
+def _(spark, sf):
+    return ST.recording_atoms(_of_kind(spark, sf, "orientation")).select(
+        "seq", "time", ST.render_recording().alias("atom")
+    )
+
+
+@query(
+    "parse_appearance",
+    ["recordings"],
+    "SELECT seq, time, concat(CASE WHEN seq % 3 = 2 THEN 'holdsAt(' ELSE 'happensAt(' END,"
+    " list_extract(['appear', 'disappear', 'visible'], CAST(seq % 3 AS INT) + 1), '(', id, '),', time, ')') AS atom"
+    " FROM recordings WHERE kind = 'signup'",
+)
+def _(spark, sf):
+    return ST.recording_atoms(_of_kind(spark, sf, "appearance")).select(
+        "seq", "time", ST.render_recording().alias("atom")
+    )
+
+
+@query(
+    "parse_coords",
+    ["recordings"],
+    "SELECT seq, time, concat('coords(', id, ',', seq % 384, ',', seq % 288, ',', time, ')') AS atom FROM recordings WHERE kind = 'error'",
+)
+def _(spark, sf):
+    return ST.recording_atoms(_of_kind(spark, sf, "coord")).select(
+        "seq", "time", ST.render_recording().alias("atom")
+    )
+
+
+@query(
+    "statement_rejects",
+    ["statements"],
+    "SELECT video, seq, statement FROM statements WHERE contains(statement, 'flying')"
+    " OR (contains(statement, 'leaving_object') AND NOT contains(statement, ',id'))",
+)
+def _(spark, sf):
+    return ST.rejected_statements(T.statements(spark, sf))
+
+
+@query(
+    "rename_label",
+    ["parsed"],
+    "SELECT seq, CASE name WHEN 'interacting' THEN 'meeting' WHEN 'leaving_object' THEN 'leavingObject' ELSE name END AS label"
+    " FROM parsed WHERE contains(text, '[')",
+)
+def _(spark, sf):
+    return _of_kind(spark, sf, "activity").select("seq", ST.activity_label(F.col("name")).alias("label"))
+
+
+define(
+    "pairs",
+    ["parsed"],
+    """SELECT p.video, p.seq, p.place, p.time, CASE name WHEN 'interacting' THEN 'meeting' WHEN 'leaving_object' THEN 'leavingObject' ELSE name END AS label,
+ a.i AS i, b.i AS j, list_extract(persons, a.i) AS first, list_extract(persons, b.i) AS second
+ FROM parsed p, (SELECT unnest(range(1, 4)) AS i) a, (SELECT unnest(range(1, 4)) AS i) b
+ WHERE contains(text, '[') AND a.i <> b.i AND a.i <= len(persons) AND b.i <= len(persons)
+ AND (name <> 'leaving_object' OR (a.i = 1 AND b.i = 2))""",
+)
+define(
+    "recorded",
+    ["pairs"],
+    """SELECT video, seq, place, time, least(i, j) * 100 + greatest(i, j) * 10 + CASE WHEN i > j THEN 1 ELSE 0 END AS pair, 'annotation' AS role,
+ concat('holdsAt(', label, '(', first, ',', second, '),') AS head FROM pairs
+ UNION ALL SELECT video, seq, place, time, 0, 'narrative',
+ CASE name WHEN 'orientation' THEN concat('orientation(', persons[1], ',', regexp_extract(text, '=([0-9]+)', 1), ',')
+  WHEN 'coord' THEN concat('coords(', persons[1], ',', regexp_extract(text, '=\\(([0-9]+),', 1), ',', regexp_extract(text, ',([0-9]+)\\),', 1), ',')
+  WHEN 'appearance' THEN concat(CASE WHEN contains(text, '=visible') THEN 'holdsAt(' ELSE 'happensAt(' END, regexp_extract(text, '=([a-z]+)', 1), '(', persons[1], '),')
+  ELSE concat('happensAt(', name, '(', persons[1], '),') END
+ FROM parsed WHERE NOT contains(text, '[')""",
+)
+define("told", ["recorded"], "SELECT *, concat(head, time, ')') AS atom FROM recorded")
+
+
+@query(
+    "pair_expand",
+    ["pairs"],
+    "SELECT seq, time, label, first, second FROM pairs",
+)
+def _(spark, sf):
+    return ST.recording_atoms(_of_kind(spark, sf, "activity")).select(
+        "seq",
+        "time",
+        F.col("name").alias("label"),
+        F.col("args")[0].alias("first"),
+        F.col("args")[1].alias("second"),
+    )
+
+
+def _recorded(spark, sf):
+    """All recording atoms with their text: keys video, time; order seq, place, pair."""
+    return ST.recording_atoms(_parsed(spark, sf)).withColumn("atom", ST.render_recording())
+
+
+@query("parse_all", ["told"], "SELECT video, seq, place, time, role, atom FROM told")
+def _(spark, sf):
+    return _recorded(spark, sf).select(
+        "video", "seq", F.col("place").cast("bigint").alias("place"), "time", "role", "atom"
+    )
+
+
+_LISTS = """coalesce(string_agg(CASE WHEN role = 'annotation' THEN atom END, '|' ORDER BY place, pair, seq), '') AS annotation,
+ coalesce(string_agg(CASE WHEN role = 'narrative' THEN atom END, '|' ORDER BY place, pair, seq), '') AS narrative"""
+_RECORDING_ORDER = ("role", "place", "pair", "seq")
+
+
+@query(
+    "same_time_pair",
+    ["told"],
+    f"SELECT video, time, CAST(0 AS BIGINT) AS part, {_LISTS} FROM told GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return pairing.same_time_pairs(_recorded(spark, sf), ["video"], _RECORDING_ORDER).select(
+        "video", "time", "part", joined("annotation"), joined("narrative")
+    )
+
+
+define(
+    "shifted",
+    ["told"],
+    "SELECT video, time, role, place, pair, seq, atom FROM told WHERE role = 'narrative'"
+    " UNION ALL SELECT video, time - 40, role, place, pair, seq, atom FROM told t WHERE role = 'annotation'"
+    " AND EXISTS (SELECT 1 FROM told k WHERE k.video = t.video AND k.time = t.time - 40)"
+    " UNION ALL SELECT DISTINCT video, time, NULL, NULL, NULL, NULL, NULL FROM told",
+)
+
+
+@query(
+    "shift_pair",
+    ["shifted"],
+    f"SELECT video, time, CAST(0 AS BIGINT) AS part, {_LISTS} FROM shifted GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return pairing.shift_pairs(_recorded(spark, sf), ["video"], _RECORDING_ORDER).select(
+        "video", "time", "part", joined("annotation"), joined("narrative")
+    )
+
+
+_FLAGS = (
+    "coalesce(bool_or(role = 'annotation' AND contains(atom, 'meeting')), false) AS has_meeting,"
+    " coalesce(bool_or(role = 'annotation' AND contains(atom, 'moving')), false) AS has_moving"
+)
+
+
+@query("activity_flags", ["shifted"], f"SELECT video, {_FLAGS} FROM shifted GROUP BY 1")
+def _(spark, sf):
+    return pairing.activity_flags(pairing.shifted_atoms(_recorded(spark, sf), ["video"]), ["video"])
+
+
+@query(
+    "dataset_name",
+    ["shifted"],
+    f"SELECT video, concat_ws('-', concat('video-', video), CASE WHEN has_meeting THEN 'meeting' END,"
+    f" CASE WHEN has_moving THEN 'moving' END) AS dataset FROM (SELECT video, {_FLAGS} FROM shifted GROUP BY 1)",
+)
+def _(spark, sf):
+    flags = pairing.activity_flags(pairing.shifted_atoms(_recorded(spark, sf), ["video"]), ["video"])
+    prefix = F.concat(F.lit("video-"), F.col("video").cast("string"))
+    return flags.select("video", pairing.dataset_name(prefix).alias("dataset"))
+
+
+define(
+    "offsets",
+    ["recordings"],
+    "SELECT video, CAST(coalesce(sum(length) OVER (ORDER BY video ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift"
+    " FROM (SELECT video, max(time) + 40 AS length FROM recordings GROUP BY 1)",
+)
+
+
+@query("video_offset", ["offsets"], "SELECT video, shift FROM offsets")
+def _(spark, sf):
+    return ST.video_offsets(T.recordings(spark, sf)).withColumnRenamed("offset", "shift")
+
+
+@query(
+    "shift_videos",
+    ["recorded", "recordings"],
+    """SELECT r.seq, r.role, r.time + o.shift AS time, concat(r.head, r.time + o.shift, ')') AS atom FROM recorded r JOIN
+ (SELECT video, CAST(coalesce(sum(length) OVER (ORDER BY video ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift
+  FROM (SELECT video, max(time) + 40 AS length FROM recorded GROUP BY 1)) o USING (video)""",
+)
+def _(spark, sf):
+    moved = ST.shift_videos(_recorded(spark, sf))
+    return moved.select("seq", "role", "time", ST.render_recording().alias("atom"))
+
+
+@query(
+    "count_interpretations",
+    ["recordings"],
+    """SELECT video, CAST(size AS BIGINT) AS size FROM (
+ SELECT video, CASE WHEN ids > 1 THEN times * (ids * (ids - 1) // 2) ELSE times END AS size FROM
+  (SELECT video, count(DISTINCT time) AS times, count(DISTINCT id) AS ids FROM recordings GROUP BY 1)
+ UNION ALL SELECT NULL, sum(CASE WHEN ids > 1 THEN times * (ids * (ids - 1) // 2) ELSE times END) FROM
+  (SELECT video, count(DISTINCT time) AS times, count(DISTINCT id) AS ids FROM recordings GROUP BY 1))""",
+)
+def _(spark, sf):
+    return ST.count_interpretations(T.recordings(spark, sf).select("video", "time", "id"))
+
+
+@query("video_order", ["recordings"], "SELECT video, row_number() OVER (ORDER BY video) AS number FROM (SELECT DISTINCT video FROM recordings)")
+def _(spark, sf):
+    folders = T.recordings(spark, sf).select(
+        F.concat(F.col("video").cast("string"), F.lit("-scene")).alias("folder")
+    )
+    return R.numbered_videos(folders).select("video", "number")
+
+
+def _recording_files(spark, sf):
+    """Recording folders as text: one folder per video, comments, split statements."""
+    root = shared_folder(spark, "recordings")
+    text = T.statement_text(spark, sf).select(
+        F.concat(F.col("video").cast("string"), F.lit("-scene")).alias("folder"),
+        F.expr(
+            "CASE kind WHEN 'purchase' THEN 'SituationGrp' WHEN 'signup' THEN 'AppearenceIndv'"
+            " WHEN 'error' THEN 'Notes' ELSE 'MovementIndv' END"
+        ).alias("tag"),
+        F.concat(
+            F.when(F.col("seq") % 5 == 0, F.concat(F.lit("% frame "), "seq", F.lit(". next\n"))).otherwise(""),
+            F.regexp_replace("text", r"\), ", "),\n  "),
+            F.lit(".\n"),
+        ).alias("value"),
+    )
+    for tag in ("SituationGrp", "AppearenceIndv", "Notes", "MovementIndv"):
+        chosen = text.where(F.col("tag") == tag).select("folder", "value")
+        chosen.write.partitionBy("folder").text(f"{root}/{tag}")
+    return root
+
+
+@query(
+    "scan_statements",
+    ["statements", "recordings"],
+    "SELECT s.video, s.statement FROM statements s JOIN recordings r USING (seq) WHERE r.kind <> 'error'",
+)
+def _(spark, sf):
+    # Spark names its own files, so the tag is a folder here and a file-name part
+    # in the tests; the statement assembly is the same.
+    root = _recording_files(spark, sf)
+    lines = reduce(
+        DataFrame.unionByName,
+        [R.read_lines(spark, f"{root}/{tag}", ("part-",)) for tag in ("SituationGrp", "AppearenceIndv", "MovementIndv")],
+    )
+    renamed = lines.withColumn("folder", F.regexp_replace("folder", "^folder=", ""))
+    return R.statements(renamed).select("video", "statement")
+
+
+# --------------------------------------------------------------------------
+# Scores
+# --------------------------------------------------------------------------
+
+define(
+    "scored",
+    ["rules"],
+    "SELECT *, tp / CAST(nullif(tp + fp, 0) AS DOUBLE) AS own, ptp / CAST(nullif(ptp + pfp, 0) AS DOUBLE) AS parent FROM"
+    " (SELECT *, sum(tp) OVER () AS ptp, sum(fp) OVER () AS pfp FROM rules)",
+)
+
+
+def _scored(spark, sf):
+    rules = T.rules(spark, sf)
+    total = rules.agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
+    return rules.select(
+        "*",
+        total.select("ptp").scalar().alias("ptp"),
+        total.select("pfp").scalar().alias("pfp"),
+    )
+
+
+@query("rule_precision", ["scored"], "SELECT rule_id, round(own, 9) AS rule_precision FROM scored")
+def _(spark, sf):
+    own = scores.precision(F.col("tp"), F.col("fp"))
+    return T.rules(spark, sf).select("rule_id", F.round(own, 9).alias("rule_precision"))
+
+
+@query(
+    "rule_gain",
+    ["scored"],
+    "SELECT rule_id, round(tp * (ln(own) - ln(parent)), 6) AS gain, round(ptp * -ln(parent), 6) AS max_gain,"
+    " round(tp * (ln(own) - ln(parent)) / (ptp * -ln(parent)), 9) AS normalised FROM scored",
+)
+def _(spark, sf):
+    tp, fp, ptp, pfp = (F.col(c) for c in ("tp", "fp", "ptp", "pfp"))
+    parent = scores.precision(ptp, pfp)
+    gain = scores.information_gain(tp, scores.precision(tp, fp), parent)
+    top = scores.maximum_gain(ptp, parent)
+    return _scored(spark, sf).select(
+        "rule_id",
+        F.round(gain, 6).alias("gain"),
+        F.round(top, 6).alias("max_gain"),
+        F.round(F.try_divide(gain, top), 9).alias("normalised"),
+    )
+
+
+@query(
+    "foil_gain",
+    ["scored"],
+    "SELECT rule_id, round(CASE WHEN own = 0 OR parent IN (0, 1) THEN 0"
+    " ELSE greatest(tp * (ln(own) - ln(parent)), 0) / (ptp * -ln(parent)) END, 9) AS foil_gain FROM scored",
+)
+def _(spark, sf):
+    gain = scores.normalised_gain(*(F.col(c) for c in ("tp", "fp", "ptp", "pfp")))
+    return _scored(spark, sf).select("rule_id", F.round(gain, 9).alias("foil_gain"))
+
+
+# --------------------------------------------------------------------------
+# Stored examples, sinks
+# --------------------------------------------------------------------------
+
+# Event examples, one per event, in five datasets by day of the month.
+_DATASETS = ("d3", "d1", "d2", "d0", "d4")
+define(
+    "stored",
+    ["points"],
+    """SELECT concat('d', time // 86400 % 5) AS dataset, time, seq AS part,
+ CASE WHEN lle = 'purchase' THEN [concat('holdsAt(meeting(', vessel, '),', time, ')'), concat('holdsAt(moving(', vessel, '),', time, ')')]
+      WHEN lle = 'signup' THEN [concat('holdsAt(moving(', vessel, '),', time, ')')] ELSE [] END AS annotation,
+ [concat('happensAt(', lle, '(', vessel, '),', time, ')')] AS narrative FROM points""",
+)
+
+
+def _stored(spark, sf):
+    """Event examples written to the shared folder: returns the folder."""
+    folder = shared_folder(spark, "examples")
+    frame = T.points(spark, sf).selectExpr(
+        "concat('d', time div 86400 % 5) AS dataset",
+        "time",
+        "seq AS part",
+        "CASE WHEN lle = 'purchase' THEN array(concat('holdsAt(meeting(', vessel, '),', time, ')'), concat('holdsAt(moving(', vessel, '),', time, ')'))"
+        " WHEN lle = 'signup' THEN array(concat('holdsAt(moving(', vessel, '),', time, ')')) ELSE CAST(array() AS ARRAY<STRING>) END AS annotation",
+        "array(concat('happensAt(', lle, '(', vessel, '),', time, ')')) AS narrative",
+    )
+    writers.write_examples(frame, folder)
+    return folder
+
+
+_STORED_TEXT = "array_to_string(annotation, '|') AS annotation, array_to_string(narrative, '|') AS narrative"
+
+
+@query("write_examples", ["stored"], f"SELECT dataset, time, part, {_STORED_TEXT} FROM stored")
+def _(spark, sf):
+    return spark.read.parquet(_stored(spark, sf)).select(
+        "dataset", "time", "part", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "read_examples",
+    ["stored"],
+    f"SELECT dataset, list_position(['d3', 'd1', 'd2'], dataset) AS place, time, part, {_STORED_TEXT} FROM stored WHERE dataset IN ('d3', 'd1', 'd2')",
+)
+def _(spark, sf):
+    options = StoredInput(_stored(spark, sf), ("d3", "d1", "d2"), ascending=False)
+    return sources.read_examples(spark, options).select(
+        "dataset", F.col("dataset_place").cast("int").alias("place"), "time", "part", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "target_filter",
+    ["stored"],
+    "SELECT dataset, time, part, array_to_string(list_filter(annotation, lambda a: contains(a, 'meeting')), '|') AS annotation FROM stored",
+)
+def _(spark, sf):
+    options = StoredInput(_stored(spark, sf), _DATASETS, sort_by=None)
+    kept = examples.keep_target(sources.read_examples(spark, options), "meeting")
+    return kept.select("dataset", "time", "part", joined("annotation"))
+
+
+_MERGED = """coalesce(string_agg(array_to_string(annotation, '|'), '|' ORDER BY time, part) FILTER (WHERE len(annotation) > 0), '') AS annotation,
+ coalesce(string_agg(array_to_string(narrative, '|'), '|' ORDER BY time, part), '') AS narrative"""
+
+
+@query(
+    "chunk_merge",
+    ["stored"],
+    f"""SELECT dataset, chunk, arg_min(time, r) AS time, {_MERGED} FROM
+ (SELECT *, CAST(floor((r - 1) / 7) AS BIGINT) AS chunk FROM
+ (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY time, part) AS r FROM stored)) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    options = StoredInput(_stored(spark, sf), _DATASETS, chunk_size=7)
+    return sources.read_input("stored", spark, options).select(
+        "dataset", "chunk", "time", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "merge_all",
+    ["stored"],
+    f"SELECT dataset, CAST(0 AS BIGINT) AS part, min(time) AS time, {_MERGED} FROM stored GROUP BY 1",
+)
+def _(spark, sf):
+    options = StoredInput(_stored(spark, sf), _DATASETS, purpose="testing")
+    return sources.read_input("stored", spark, options).select(
+        "dataset", "part", "time", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "clustered_write",
+    ["points"],
+    "SELECT seq, lle, time, vessel FROM points",
+)
+def _(spark, sf):
+    folder = shared_folder(spark, "clustered")
+    writers.write_clustered(T.points(spark, sf).select("seq", "lle", "time", "vessel"), folder)
+    return spark.read.parquet(folder)
+
+
+# --------------------------------------------------------------------------
+# Wide rows, code matrices, series
+# --------------------------------------------------------------------------
+
+_SENSORS = T.SENSORS
+
+
+@query(
+    "sensor_unpivot",
+    ["wide"],
+    "SELECT time, sensor, value FROM wide UNPIVOT (value FOR sensor IN (click, \"view\", purchase, signup, error)) WHERE value <> '0'",
+)
+def _(spark, sf):
+    return W.sensor_events(T.wide(spark, sf), _SENSORS, ["time"])
+
+
+_FIRED = "concat_ws('|', " + ", ".join(
+    f"CASE WHEN \"{s}\" <> '0' THEN concat('happensAt({s},', time, ')') END" for s in reversed(_SENSORS)
+) + ")"
+
+
+@query(
+    "activity_atoms",
+    ["wide"],
+    f"SELECT time, concat('holdsAt(', activity, ',', time, ')') AS annotation, {_FIRED} AS narrative FROM wide",
+)
+def _(spark, sf):
+    return W.sensor_documents(T.wide(spark, sf), _SENSORS).select(
+        "time", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "scan_wide_csv",
+    ["wide"],
+    f"SELECT time, concat('holdsAt(', activity, ',', time, ')') AS annotation, {_FIRED} AS narrative FROM wide",
+)
+def _(spark, sf):
+    folder = shared_folder(spark, "wide")
+    stamp = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd HH:mm:ss")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    T.wide(spark, sf).select(*_SENSORS, "activity", stamp.alias("timestamp")).write.csv(folder, header=True)
+    rows = sources.read_wide(spark, folder)
+    *sensors, activity, timestamp = rows.columns
+    timed = rows.withColumn("time", text.epoch_seconds(F.col(timestamp), zone))
+    return W.sensor_documents(timed, sensors, activity).select(
+        "time", joined("annotation"), joined("narrative")
+    )
+
+
+@query(
+    "epoch_seconds",
+    ["points"],
+    "SELECT seq, time - 3600 AS seconds FROM points",
+)
+def _(spark, sf):
+    stamp = T.table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp")
+    )
+    return stamp.select("seq", text.epoch_seconds(F.col("stamp"), "Europe/Paris").alias("seconds"))
+
+
+# Codes of the seven label columns, picked by event number.
+_CODES = {
+    "locomotion": ("0", "1", "2", "4", "5"),
+    "activity": ("0", "101", "102", "103", "104", "105"),
+    "left_verb": ("0", "201", "206", "204"),
+    "left_object": ("0", "301", "320", "321", "317"),
+    "right_verb": ("0", "401", "205", "413"),
+    "right_object": ("0", "502", "521", "320"),
+    "gesture": ("0", "406516", "404520", "408512", "407521", "405506", "999"),
+}
+_LABELS = {
+    "locomotion": ("none", "stand", "walk", "sit", "lie"),
+    "activity": ("none", "relaxing", "coffee_time", "early_morning", "cleanup", "sandwich_time"),
+    "left_verb": ("none", "unlock", "open", "close"),
+    "left_object": ("none", "bottle", "fridge", "cup", "door2"),
+    "right_verb": ("none", "unlock", "reach", "move"),
+    "right_object": ("none", "salami", "cup", "fridge"),
+    "gesture": ("none", "open_door1", "close_fridge", "clean_table", "drink_fromCup", "toggle_switch", None),
+}
+
+
+def _coded(spark, sf):
+    """(event_id, subject, one code per label column) from the events."""
+    picks = [
+        F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % len(codes)).cast("int") + 1).alias(c)
+        for c, codes in _CODES.items()
+    ]
+    subject = F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string"))
+    return T.table(spark, sf, "events").select("event_id", subject.alias("subject"), *picks)
+
+
+define(
+    "labelled",
+    [],
+    "SELECT lower(concat('S', user_id % 4)) AS subject,"
+    " row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS time, "
+    + ", ".join(
+        "list_extract([" + ", ".join("NULL" if v is None else f"'{v}'" for v in labels) + f"], CAST(event_id % {len(labels)} AS INT) + 1) AS {c}"
+        for c, labels in _LABELS.items()
+    )
+    + " FROM events",
+)
+
+
+def _matrix(spark, sf):
+    """Matrix text with 250 columns, one file per subject, read back with row times."""
+    folder = shared_folder(spark, "matrix")
+    cells = F.concat_ws(" ", F.array_repeat(F.lit("0"), 243), *_CODES)
+    coded = _coded(spark, sf).select("event_id", "subject", cells.alias("value"))
+    (
+        coded.repartition("subject")
+        .sortWithinPartitions("subject", "event_id")
+        .select("subject", "value")
+        .write.partitionBy("subject")
+        .text(folder)
+    )
+    return sources.read_matrix(spark, folder, F.lower("subject"))
+
+
+def _labelled(spark, sf):
+    return W.label_lookup(_matrix(spark, sf), W.code_dictionary(spark), list(W.MATRIX_COLUMNS))
+
+
+@query(
+    "row_time",
+    ["labelled"],
+    "SELECT subject, time, CAST(time AS VARCHAR) AS shown FROM labelled",
+)
+def _(spark, sf):
+    return _matrix(spark, sf).select("subject", "time", F.col("time").cast("string").alias("shown"))
+
+
+@query("scan_matrix", ["labelled"], "SELECT subject, count(*) AS n, max(time) AS last FROM labelled GROUP BY 1")
+def _(spark, sf):
+    return _matrix(spark, sf).groupBy("subject").agg(
+        F.count("*").alias("n"), F.max("time").alias("last")
+    )
+
+
+@query(
+    "label_lookup",
+    ["labelled"],
+    "SELECT subject, time, " + ", ".join(_LABELS) + " FROM labelled",
+)
+def _(spark, sf):
+    return _labelled(spark, sf).select("subject", "time", *_LABELS)
+
+
+_LOCOMOTION = "CASE WHEN locomotion <> 'none' THEN concat('happensAt(', locomotion, '(', subject, '),', time, ')') END"
+_HIGH_LEVEL = "CASE WHEN activity <> 'none' THEN concat('holdsAt(', activity, '(', subject, '),', time, ')') END"
+_ARM = "CASE WHEN {0}_verb <> 'none' AND {0}_object <> 'none' THEN concat('happensAt(', {0}_verb, '(', subject, ',', {0}_object, '),', time, ')') END"
+_GESTURE = (
+    "CASE WHEN gesture <> 'none' THEN concat('happensAt(', split_part(gesture, '_', 1), '(', subject, ',',"
+    " split_part(gesture, '_', 2), '),', time, ')') END"
+)
+
+
+@query(
+    "locomotion_atoms",
+    ["labelled"],
+    f"SELECT subject, time, {_LOCOMOTION} AS locomotion, {_HIGH_LEVEL} AS activity FROM labelled",
+)
+def _(spark, sf):
+    return _labelled(spark, sf).select(
+        "subject", "time", W.locomotion_atom().alias("locomotion"), W.activity_atom().alias("activity")
+    )
+
+
+@query(
+    "arm_atoms",
+    ["labelled"],
+    f"SELECT subject, time, {_ARM.format('left')} AS left_arm, {_ARM.format('right')} AS right_arm FROM labelled",
+)
+def _(spark, sf):
+    return _labelled(spark, sf).select(
+        "subject", "time", W.arm_atom("left").alias("left_arm"), W.arm_atom("right").alias("right_arm")
+    )
+
+
+@query("gesture_atoms", ["labelled"], f"SELECT subject, time, {_GESTURE} AS gesture FROM labelled")
+def _(spark, sf):
+    return _labelled(spark, sf).select("subject", "time", W.gesture_atom().alias("gesture"))
+
+
+_ROW_ATOMS = f"""SELECT subject, time, string_agg(atom, ' ' ORDER BY i) AS atoms FROM
+ (SELECT subject, time, atom, min(i) AS i FROM
+ (SELECT subject, time, 1 AS i, {_LOCOMOTION} AS atom FROM labelled
+  UNION ALL SELECT subject, time, 2, {_ARM.format('left')} FROM labelled
+  UNION ALL SELECT subject, time, 3, {_ARM.format('right')} FROM labelled
+  UNION ALL SELECT subject, time, 4, {_GESTURE} FROM labelled
+  UNION ALL SELECT subject, time, 5, {_HIGH_LEVEL} FROM labelled) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query("distinct_atoms", ["labelled"], f"SELECT subject, time, coalesce(atoms, '') AS atoms FROM ({_ROW_ATOMS})")
+def _(spark, sf):
+    return W.matrix_atoms(_labelled(spark, sf)).select(
+        "subject", "time", F.array_join("atoms", " ").alias("atoms")
+    )
+
+
+@query(
+    "kernel_text",
+    ["labelled"],
+    f"SELECT concat(time, ' ', coalesce(atoms, '')) AS value FROM ({_ROW_ATOMS})",
+)
+def _(spark, sf):
+    folder = shared_folder(spark, "kernel")
+    lines = W.text_lines(W.matrix_atoms(_labelled(spark, sf)))
+    writers.write_lines(lines, folder, ["subject", "time"])
+    return spark.read.text(folder)
+
+
+@query(
+    "subject_name",
+    sql="SELECT event_id, lower(concat('S', user_id % 4)) AS subject FROM events",
+)
+def _(spark, sf):
+    file_name = F.concat("subject", F.lit("-ADL1.dat"))
+    return _coded(spark, sf).select("event_id", text.subject_name(file_name).alias("subject"))
+
+
+@query(
+    "unknown_codes",
+    ["labelled"],
+    "SELECT subject, time FROM labelled WHERE gesture IS NULL",
+)
+def _(spark, sf):
+    return W.unknown_codes(_labelled(spark, sf), list(W.MATRIX_COLUMNS)).select("subject", "time")
+
+
+@query(
+    "obs_unpivot",
+    ["series"],
+    "SELECT model_id, time, 0 AS place, concat('obs(alive,', alive, ',', time, ')') AS atom FROM series"
+    " UNION ALL SELECT model_id, time, 1, concat('obs(necrotic,', necrotic, ',', time, ')') FROM series"
+    " UNION ALL SELECT model_id, time, 2, concat('obs(apoptotic,', apoptotic, ',', time, ')') FROM series",
+)
+def _(spark, sf):
+    return S.observations(T.series(spark, sf))
+
+
+@query(
+    "union_atoms",
+    ["series"],
+    "SELECT model_id, time, concat('obs(alive,', alive, ',', time, ')') AS atom FROM series"
+    " UNION ALL SELECT model_id, time, concat('obs(necrotic,', necrotic, ',', time, ')') FROM series"
+    " UNION ALL SELECT model_id, time, concat('obs(apoptotic,', apoptotic, ',', time, ')') FROM series"
+    " UNION ALL SELECT model_id, time, concat('inferred(', alive, ',', time, ')') FROM series",
+)
+def _(spark, sf):
+    series = T.series(spark, sf)
+    inferred = series.selectExpr(
+        "model_id", "time", "3 AS place", "concat('inferred(', alive, ',', time, ')') AS atom"
+    )
+    return S.with_inferred(S.observations(series), inferred).select("model_id", "time", "atom")
+
+
+_LABELLED_MODELS = "SELECT DISTINCT CASE WHEN model_id % 2 = 0 THEN 'interesting' ELSE 'not_interesting' END AS label, model_id FROM series"
+
+
+def _models(spark, sf):
+    labelled = T.series(spark, sf).selectExpr(
+        "CASE WHEN model_id % 2 = 0 THEN 'interesting' ELSE 'not_interesting' END AS label", "model_id"
+    )
+    slices = [F.col("label"), *ordering.int_slices("model_id", 16)]
+    return S.number_models(labelled, ["label", "model_id"], slices)
+
+
+@query(
+    "model_number",
+    ["series"],
+    f"SELECT label, model_id, row_number() OVER (ORDER BY label, model_id) AS model FROM ({_LABELLED_MODELS})",
+)
+def _(spark, sf):
+    return _models(spark, sf)
+
+
+define(
+    "m",
+    ["series"],
+    f"SELECT label, model_id, row_number() OVER (ORDER BY label, model_id) AS model FROM ({_LABELLED_MODELS})",
+)
+
+
+@query(
+    "model_blocks",
+    ["m"],
+    """SELECT concat('begin(model(', model, ')).') AS value FROM m UNION ALL SELECT concat(label, '.') FROM m
+ UNION ALL SELECT concat('end(model(', model, ')).') FROM m
+ UNION ALL SELECT concat('obs(alive,', alive, ',', time, ').') FROM series
+ UNION ALL SELECT concat('obs(necrotic,', necrotic, ',', time, ').') FROM series
+ UNION ALL SELECT concat('obs(apoptotic,', apoptotic, ',', time, ').') FROM series""",
+)
+def _(spark, sf):
+    folder = shared_folder(spark, "models")
+    lines = S.model_block_lines(S.observations(T.series(spark, sf)), _models(spark, sf), ["model_id"])
+    writers.write_lines(lines, folder, ["model", "section", "time", "place"])
+    return spark.read.text(folder)
+
+
+@query(
+    "state_changes",
+    ["series"],
+    """SELECT model_id, time, alive, necrotic, apoptotic FROM
+ (SELECT *, lag(concat(alive, '/', necrotic, '/', apoptotic)) OVER (PARTITION BY model_id ORDER BY time) AS was FROM series)
+ WHERE was IS DISTINCT FROM concat(alive, '/', necrotic, '/', apoptotic)""",
+)
+def _(spark, sf):
+    series = T.series(spark, sf)
+    return S.state_changes(series, ["model_id"], ordering.int_slices("time", 16))
+
+
+@query(
+    "scan_series",
+    ["series"],
+    "SELECT CASE WHEN model_id % 2 = 0 THEN 'interesting' ELSE 'not_interesting' END AS label, time, alive, necrotic, apoptotic FROM series",
+)
+def _(spark, sf):
+    root = shared_folder(spark, "series")
+    series = T.series(spark, sf)
+    folders = {"interesting": f"{root}/interesting", "not_interesting": f"{root}/not_interesting"}
+    for parity, path in enumerate(folders.values()):
+        chosen = series.where(F.col("model_id") % 2 == parity)
+        chosen.select("time", "alive", "necrotic", "apoptotic").write.csv(path, header=True)
+    return sources.read_series(spark, folders).select("label", "time", "alive", "necrotic", "apoptotic")
+
+
+@query(
+    "head_skip",
+    ["wide"],
+    "SELECT time, \"view\", click FROM wide",
+)
+def _(spark, sf):
+    # A header row names the columns and is not data; the first columns are
+    # picked by name.
+    folder = shared_folder(spark, "head")
+    T.wide(spark, sf).select("time", "view", "click").write.csv(folder, header=True)
+    rows = sources.read_wide(spark, folder)
+    return rows.select(F.col("time").try_cast("bigint").alias("time"), *rows.columns[1:])

@@ -171,9 +171,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coastline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ring, pos, x, y): a zigzag shore, one vertex per supplier."""
+    """(ring, pos, x, y): a zigzag shore, one vertex per supplier, 50 to a ring."""
     return table(spark, sf_dir, "supplier").selectExpr(
-        "CAST(0 AS BIGINT) AS ring",
+        "CAST(floor((s_suppkey - 1) / 50) AS BIGINT) AS ring",
         "s_suppkey AS pos",
         "-4.6D + s_suppkey / 80.0D AS x",
         "48.2D + ((s_suppkey * 37) % 20) / 100.0D AS y",
@@ -207,6 +207,6 @@ DUCK = {
  CAST(SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS VARCHAR) AS signup,
  CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS VARCHAR) AS error,
  concat('act', CAST(MIN(user_id) % 4 AS VARCHAR)) AS activity FROM events GROUP BY 1""",
-    "coastline": """SELECT CAST(0 AS BIGINT) AS ring, s_suppkey AS pos, -4.6E0 + s_suppkey / 80E0 AS x,
+    "coastline": """SELECT CAST(floor((s_suppkey - 1) / 50) AS BIGINT) AS ring, s_suppkey AS pos, -4.6E0 + s_suppkey / 80E0 AS x,
  48.2E0 + ((s_suppkey * 37) % 20) / 100E0 AS y FROM supplier""",
 }
