@@ -17,11 +17,16 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def render(functor, name, args, time) -> Column:
-    """``functor(name(arg,...),time)``."""
+def head(functor, name, args) -> Column:
+    """``functor(name(arg,...),``: all of an atom but its time."""
     constant = isinstance(functor, str) and functor in (HAPPENS, HOLDS)
     functor = F.lit(functor) if constant else _col(functor)
-    return F.concat(functor, F.lit("("), term(name, args), F.lit(","), _col(time).cast("string"), F.lit(")"))
+    return F.concat(functor, F.lit("("), term(name, args), F.lit(","))
+
+
+def render(functor, name, args, time) -> Column:
+    """``functor(name(arg,...),time)``."""
+    return F.concat(head(functor, name, args), _col(time).cast("string"), F.lit(")"))
 
 
 def term(name, args) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FRAME_STEP
-from tidemark.functions.atoms import ANNOTATION, NARRATIVE
+from tidemark.functions.atoms import ANNOTATION
 from tidemark.operators.nesting import nest_examples
 
 
@@ -20,22 +20,22 @@ def same_time_pairs(
 
 
 def shifted_atoms(atoms: DataFrame, by: Sequence[str], step: int = FRAME_STEP) -> DataFrame:
-    """Re-keys annotation atoms to the time ``step`` before them.
+    """Re-keys annotation atoms to the time ``step`` before them, in one pass.
 
-    Rows are (by, time, role, atom, …); ``time`` becomes the example time. Every
-    time that has atoms gets a marker row (atom null), and annotation atoms that
-    no example time precedes are dropped by a semi join with these times.
+    Rows are (by, time, role, atom, …, present). An annotation atom becomes two
+    rows: itself under the earlier time, and a marker (atom null) that its own
+    time exists. A time without a ``present`` row has no example.
     """
-    times = atoms.select(*by, "time").distinct()
-    earlier = (
-        atoms.where(F.col("role") == ANNOTATION)
-        .withColumn("time", F.col("time") - step)
-        .join(times, [*by, "time"], "left_semi")
-    )
+    own = F.struct(F.lit(True).alias("present"), F.col("time").alias("at"))
+    earlier = F.struct(F.lit(False).alias("present"), (F.col("time") - step).alias("at"))
+    keys = F.when(F.col("role") == ANNOTATION, F.array(earlier, own)).otherwise(F.array(own))
+    marker = (F.col("role") == ANNOTATION) & F.col("_key.present")
     return (
-        atoms.where(F.col("role") == NARRATIVE)
-        .unionByName(earlier)
-        .unionByName(times, allowMissingColumns=True)
+        atoms.withColumn("_key", F.explode(keys))
+        .withColumn("atom", F.when(~marker, F.col("atom")))
+        .withColumn("time", F.col("_key.at"))
+        .withColumn("present", F.col("_key.present"))
+        .drop("_key")
     )
 
 
@@ -50,17 +50,20 @@ def shift_pairs(
 
     A time without a later annotation has an empty list.
     """
-    return nest_examples(shifted_atoms(atoms, by, step), [*by, "time"], order, max_atoms)
+    shifted = shifted_atoms(atoms, by, step)
+    return nest_examples(shifted, [*by, "time"], order, max_atoms, required="present")
 
 
 def activity_flags(
-    atoms: DataFrame, by: Sequence[str], texts: Sequence[str] = ("meeting", "moving")
+    documents: DataFrame, by: Sequence[str], texts: Sequence[str] = ("meeting", "moving")
 ) -> DataFrame:
     """Per recording, whether any annotation atom contains each of the texts."""
-    annotation = F.when(F.col("role") == ANNOTATION, F.col("atom"))
-    return atoms.groupBy(*by).agg(
-        *[F.coalesce(F.bool_or(annotation.contains(t)), F.lit(False)).alias(f"has_{t}") for t in texts]
-    )
+
+    def seen(t: str) -> Column:
+        found = F.exists("annotation", lambda a: a.contains(t))
+        return F.coalesce(F.bool_or(found), F.lit(False)).alias(f"has_{t}")
+
+    return documents.groupBy(*by).agg(*map(seen, texts))
 
 
 def dataset_name(prefix: Column, texts: Sequence[str] = ("meeting", "moving")) -> Column:

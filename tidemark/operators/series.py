@@ -38,10 +38,12 @@ def number_models(
     return ordering.number_rows(models.select(*order).distinct(), order, slices, name=name)
 
 
-def state_changes(series: DataFrame, by: Sequence[str], slices: Sequence[Column]) -> DataFrame:
+def state_changes(
+    series: DataFrame, by: Sequence[str], slices: Sequence[Column], order: Sequence[str] = ("time",)
+) -> DataFrame:
     """Rows whose state differs from the row before them in the same series."""
     state = F.struct(*VARIABLES)
-    walked = ordering.neighbour_value(series, state, F.col("time"), slices, by, "_before")
+    walked = ordering.neighbour_value(series, state, F.struct(*order), slices, by, "_before")
     return walked.where(~state.eqNullSafe(F.col("_before"))).drop("_before")
 
 

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Interval joins put out far more rows than they read, so partitions are not
+    # merged up to the default size by what they read.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -31,6 +31,7 @@ from tidemark.sinks import writers
 from tidemark.sources import recordings as R
 from tidemark.sources import tables as sources
 from tidemark.sources import vessels
+from tidemark.streaming.minibatches import RowBatchStream, TimeBatchStream
 from workload import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,20 +232,20 @@ def _batches(spark, sf, stage=True):
  FROM bounds b LEFT JOIN role_rows r ON r.batch_id = b.batch_id GROUP BY 1, 2""",
 )
 def batch_examples(spark, sf):
-    return V.batch_examples(_batches(spark, sf), OPTIONS).select(
+    return V.batch_examples(_batches(spark, sf), OPTIONS, stage_in(spark)).select(
         "batch_id", "time", "part", joined("annotation"), joined("narrative")
     )
 
 
 @query("batch_atoms", ["batch_rows"], "SELECT batch_id, CAST(kind AS BIGINT) AS kind, time, seq, CAST(side AS BIGINT) AS side, atom FROM batch_rows")
 def _(spark, sf):
-    return V.batch_atoms(_batches(spark, sf), OPTIONS).select(
+    return V.batch_atoms(_batches(spark, sf)).select(
         "batch_id",
         F.col("kind").cast("bigint").alias("kind"),
         "time",
         "seq",
         F.col("side").cast("bigint").alias("side"),
-        A.render("functor", "name", "args", "time").alias("atom"),
+        "atom",
     )
 
 
@@ -257,7 +258,7 @@ def _(spark, sf):
  FROM role_rows GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return V.batch_documents(_batches(spark, sf), OPTIONS).select(
+    return V.batch_documents(_batches(spark, sf), OPTIONS, stage=stage_in(spark)).select(
         "batch_id", "time", "part", joined("annotation"), joined("narrative")
     )
 
@@ -269,7 +270,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return (
-        V.with_role(V.batch_atoms(_batches(spark, sf), OPTIONS), OPTIONS)
+        V.example_atoms(_batches(spark, sf))
         .groupBy("role", "name")
         .agg(F.count("*").alias("atoms"), F.countDistinct("batch_id").alias("batches"))
     )
@@ -344,10 +345,9 @@ def _(spark, sf):
     )
 
 
-def _interval_text(frame, kind):
-    return V.interval_atoms(frame, kind, OPTIONS).select(
-        "batch_id", "seq", "time", A.render("functor", "name", "args", "time").alias("atom")
-    )
+def _interval_text(frame, time):
+    text = F.concat("head", F.col(time).cast("string"), F.lit(")"))
+    return frame.select("batch_id", "seq", F.col(time).alias("time"), text.alias("atom"))
 
 
 @query(
@@ -356,14 +356,12 @@ def _interval_text(frame, kind):
     "SELECT batch_id, seq, time, atom FROM batch_rows WHERE kind = 1",
 )
 def _(spark, sf):
-    starts = _batches(spark, sf).starts
-    return _interval_text(starts.withColumn("time", F.col("stime")), V.START)
+    return _interval_text(_batches(spark, sf).starts, "stime")
 
 
 @query("end_atoms", ["batch_rows"], "SELECT batch_id, seq, time, atom FROM batch_rows WHERE kind = 2")
 def _(spark, sf):
-    ends = _batches(spark, sf).ends
-    return _interval_text(ends.withColumn("time", F.col("etime")), V.END)
+    return _interval_text(_batches(spark, sf).ends, "etime")
 
 
 @query("batch_times", ["t2"], "SELECT batch_id, time FROM t2")
@@ -814,7 +812,7 @@ def _(spark, sf):
 
 _LISTS = """coalesce(string_agg(CASE WHEN role = 'annotation' THEN atom END, '|' ORDER BY place, pair, seq), '') AS annotation,
  coalesce(string_agg(CASE WHEN role = 'narrative' THEN atom END, '|' ORDER BY place, pair, seq), '') AS narrative"""
-_RECORDING_ORDER = ("role", "place", "pair", "seq")
+_RECORDING_ORDER = ("place", "pair", "seq")
 
 
 @query(
@@ -823,7 +821,8 @@ _RECORDING_ORDER = ("role", "place", "pair", "seq")
     f"SELECT video, time, CAST(0 AS BIGINT) AS part, {_LISTS} FROM told GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return pairing.same_time_pairs(_recorded(spark, sf), ["video"], _RECORDING_ORDER).select(
+    atoms = stage_in(spark)(_recorded(spark, sf))
+    return pairing.same_time_pairs(atoms, ["video"], _RECORDING_ORDER).select(
         "video", "time", "part", joined("annotation"), joined("narrative")
     )
 
@@ -838,13 +837,18 @@ define(
 )
 
 
+def _shifted_documents(spark, sf):
+    atoms = stage_in(spark)(_recorded(spark, sf))
+    return pairing.shift_pairs(atoms, ["video"], _RECORDING_ORDER)
+
+
 @query(
     "shift_pair",
     ["shifted"],
     f"SELECT video, time, CAST(0 AS BIGINT) AS part, {_LISTS} FROM shifted GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return pairing.shift_pairs(_recorded(spark, sf), ["video"], _RECORDING_ORDER).select(
+    return _shifted_documents(spark, sf).select(
         "video", "time", "part", joined("annotation"), joined("narrative")
     )
 
@@ -857,7 +861,7 @@ _FLAGS = (
 
 @query("activity_flags", ["shifted"], f"SELECT video, {_FLAGS} FROM shifted GROUP BY 1")
 def _(spark, sf):
-    return pairing.activity_flags(pairing.shifted_atoms(_recorded(spark, sf), ["video"]), ["video"])
+    return pairing.activity_flags(_shifted_documents(spark, sf), ["video"])
 
 
 @query(
@@ -867,7 +871,7 @@ def _(spark, sf):
     f" CASE WHEN has_moving THEN 'moving' END) AS dataset FROM (SELECT video, {_FLAGS} FROM shifted GROUP BY 1)",
 )
 def _(spark, sf):
-    flags = pairing.activity_flags(pairing.shifted_atoms(_recorded(spark, sf), ["video"]), ["video"])
+    flags = pairing.activity_flags(_shifted_documents(spark, sf), ["video"])
     prefix = F.concat(F.lit("video-"), F.col("video").cast("string"))
     return flags.select("video", pairing.dataset_name(prefix).alias("dataset"))
 
@@ -1425,12 +1429,13 @@ def _(spark, sf):
     "state_changes",
     ["series"],
     """SELECT model_id, time, alive, necrotic, apoptotic FROM
- (SELECT *, lag(concat(alive, '/', necrotic, '/', apoptotic)) OVER (PARTITION BY model_id ORDER BY time) AS was FROM series)
+ (SELECT *, lag(concat(alive, '/', necrotic, '/', apoptotic)) OVER (PARTITION BY model_id ORDER BY time, alive, necrotic, apoptotic) AS was FROM series)
  WHERE was IS DISTINCT FROM concat(alive, '/', necrotic, '/', apoptotic)""",
 )
 def _(spark, sf):
     series = T.series(spark, sf)
-    return S.state_changes(series, ["model_id"], ordering.int_slices("time", 16))
+    order = ("time", *S.VARIABLES)
+    return S.state_changes(series, ["model_id"], ordering.int_slices("time", 16), order)
 
 
 @query(
@@ -1460,3 +1465,38 @@ def _(spark, sf):
     T.wide(spark, sf).select("time", "view", "click").write.csv(folder, header=True)
     rows = sources.read_wide(spark, folder)
     return rows.select(F.col("time").try_cast("bigint").alias("time"), *rows.columns[1:])
+
+
+# --------------------------------------------------------------------------
+# Streams
+# --------------------------------------------------------------------------
+
+
+def _stream(spark, frame, split):
+    """Writes a frame in two ordered steps and reads it back as a stream of two."""
+    folder = shared_folder(spark, "stream-in")
+    frame.where(split).coalesce(1).write.mode("append").parquet(folder)
+    frame.where(~split).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_batches", ["role_rows", "bounds"], None)
+def _(spark, sf):
+    points = T.points(spark, sf)
+    out = TimeBatchStream(
+        spark, T.intervals(spark, sf), OPTIONS, shared_folder(spark, "state"), shared_folder(spark, "out")
+    ).run(_stream(spark, points, F.col("time") < 1_705_300_000), shared_folder(spark, "progress"))
+    return out.select("batch_id", "time", "part", joined("annotation"), joined("narrative"))
+
+
+SQL["stream_batches"] = SQL["batch_examples"]
+
+
+@query("stream_rows", [], SQL["batch_by_rows"])
+def _(spark, sf):
+    events = T.table(spark, sf, "events").select("event_id", "ts")
+    split = F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz")
+    out = RowBatchStream(spark, 10, "event_id", shared_folder(spark, "state"), shared_folder(spark, "out")).run(
+        _stream(spark, events, split), shared_folder(spark, "progress")
+    )
+    return out.select("event_id", "batch_id")
