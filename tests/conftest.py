@@ -11,7 +11,9 @@ def spark():
         "tests",
         os.environ.get("SPARK_MASTER", "local[8]"),
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "2",
+            # Compiling a plan takes longer than running it on a few rows.
+            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.driver.bindAddress": "127.0.0.1",

@@ -1475,9 +1475,10 @@ def _(spark, sf):
 def _stream(spark, frame, split):
     """Writes a frame in two ordered steps and reads it back as a stream of two."""
     folder = shared_folder(spark, "stream-in")
-    frame.where(split).coalesce(1).write.mode("append").parquet(folder)
-    frame.where(~split).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = spark.sparkContext.defaultParallelism
+    for step in (frame.where(split), frame.where(~split)):
+        step.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_batches", ["role_rows", "bounds"], None)
