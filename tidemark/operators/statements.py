@@ -33,25 +33,28 @@ PATTERNS = {
 _ANY = "|".join(PATTERNS.values())
 
 
-def recognised(statement: Column) -> Column:
-    """Whether the whole statement is a run of known atoms.
+def atom_texts(statement: str | Column = "statement") -> Column:
+    """All known atoms in a statement, in order."""
+    return F.regexp_extract_all(statement, F.lit(f"({_ANY})"), F.lit(1))
 
-    Nothing may be left once they are taken out; a repeated group over the whole
-    text would recurse once per atom.
-    """
-    return (statement != "") & (F.regexp_replace(statement, _ANY, "") == "")
+
+def recognised(statement: Column, texts: Column) -> Column:
+    """Whether the atoms make up the whole statement, with nothing between them."""
+    return (statement != "") & (F.length(F.array_join(texts, "")) == F.length(statement))
 
 
 def rejected_statements(statements: DataFrame) -> DataFrame:
     """Non-empty statements that no pattern covers, and lone leaving persons."""
-    lone = statements.where(recognised(F.col("statement"))).where(
-        F.exists(
-            F.regexp_extract_all("statement", F.lit(f"({PATTERNS['activity']})"), F.lit(1)),
-            lambda a: a.contains(f"({ORDERED_PAIR_ACTIVITY}(") & ~a.contains(",id"),
-        )
+    lone = F.exists(
+        "_texts", lambda a: a.contains(f"({ORDERED_PAIR_ACTIVITY}(") & ~a.contains(",id")
+    )
+    kept = recognised(F.col("statement"), F.col("_texts")) & ~lone
+    return (
+        statements.where(F.col("statement") != "")
+        .withColumn("_texts", atom_texts())
+        .where(~kept)
+        .drop("_texts")
     )
-    unknown = statements.where(~recognised(F.col("statement")) & (F.col("statement") != ""))
-    return unknown.unionByName(lone)
 
 
 def parse_statements(statements: DataFrame) -> DataFrame:
@@ -60,34 +63,42 @@ def parse_statements(statements: DataFrame) -> DataFrame:
     Adds place (within the statement), kind, name, persons, values and time to
     the columns of ``statements``; unrecognised statements are left out.
     """
-    texts = F.regexp_extract_all("statement", F.lit(f"({_ANY})"), F.lit(1))
-    split = statements.where(recognised(F.col("statement"))).select(
-        "*", F.posexplode(texts).alias("place", "_text")
+    # A filter before the generator, given or inferred from it, would repeat the
+    # matching; the outer form with a null test behind it does not.
+    whole = F.when(recognised(F.col("statement"), F.col("_texts")), F.col("_texts"))
+    split = (
+        statements.withColumn("_texts", atom_texts())
+        .withColumn("_texts", whole)
+        .select("*", F.posexplode_outer("_texts").alias("place", "_text"))
+        .where(F.col("place").isNotNull())
     )
-    text = F.col("_text")
-    name = F.regexp_extract(text, r"^\w+\((\w+)\(", 1)
+    # Tokens between single delimiters: functor, name, person or group, and then
+    # a fixed layout per kind, counted from both ends.
+    tokens = split.withColumn("_t", F.split("_text", r"[(),=\[\]]"))
+
+    def token(i: int) -> Column:
+        return F.get("_t", F.lit(i))
+
+    name = token(1)
     kind = (
-        F.when(F.col("name").isin(*ACTIVITY_LABELS), F.lit("activity"))
-        .when(F.col("name").isin(*MOVEMENTS), F.lit("movement"))
-        .otherwise(F.col("name"))
-    )
-    members = F.regexp_extract_all(F.regexp_extract(text, r"\[(.*)\]", 1), F.lit(f"({_PERSON})"), F.lit(1))
-    person = F.array(F.regexp_extract(text, rf"^\w+\(\w+\(({_PERSON})\)", 1))
-    coordinates = F.array(
-        F.regexp_extract(text, r"=\(([0-9]+),", 1), F.regexp_extract(text, r",([0-9]+)\),", 1)
+        F.when(name.isin(*ACTIVITY_LABELS), F.lit("activity"))
+        .when(name.isin(*MOVEMENTS), F.lit("movement"))
+        .otherwise(name)
     )
+    members = F.array_remove(F.slice("_t", F.lit(5), F.size("_t") - 8), "")
     values = (
-        F.when(kind == "coord", coordinates)
-        .when(kind.isin("orientation", "appearance"), F.array(F.regexp_extract(text, "=([A-Za-z0-9_]*),", 1)))
+        F.when(name == "coord", F.array(token(5), token(6)))
+        .when(name.isin("orientation", "appearance"), F.array(token(4)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return (
-        split.withColumn("name", name)
-        .withColumn("kind", kind)
-        .withColumn("persons", F.when(kind == "activity", members).otherwise(person))
-        .withColumn("values", values)
-        .withColumn("time", F.regexp_extract(text, r",([0-9]+)\)$", 1).try_cast("bigint"))
-        .drop("_text", "statement")
+    return tokens.select(
+        *[c for c in statements.columns if c != "statement"],
+        "place",
+        name.alias("name"),
+        kind.alias("kind"),
+        F.when(name.isin(*ACTIVITY_LABELS), members).otherwise(F.array(token(2))).alias("persons"),
+        values.alias("values"),
+        F.get("_t", F.size("_t") - 2).try_cast("bigint").alias("time"),
     )
 
 
@@ -152,8 +163,8 @@ def recording_atoms(parsed: DataFrame) -> DataFrame:
         role.alias("role"),
         functor.alias("functor"),
         name.alias("name"),
-        F.posexplode(arguments).alias("pair", "args"),
-    ).drop("_name", "persons", "values")
+        F.posexplode_outer(arguments).alias("pair", "args"),
+    ).where(F.col("pair").isNotNull()).drop("_name", "persons", "values")
 
 
 def render_recording(time: str | Column = "time") -> Column:

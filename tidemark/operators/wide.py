@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import atoms as A
@@ -124,10 +124,11 @@ MATRIX_COLUMNS = {
 NONE = "none"
 
 
-def code_dictionary(spark) -> DataFrame:
+def code_dictionary(spark: SparkSession) -> DataFrame:
     """(code, label), a table of fixed size."""
-    pairs = [tuple(line.split()) for line in CODE_LABELS.strip().splitlines()]
-    return spark.createDataFrame(pairs, "code string, label string")
+    lines = F.explode(F.split(F.lit(CODE_LABELS.strip()), "\n")).alias("line")
+    pair = F.split("line", " ")
+    return spark.range(1).select(lines).select(pair[0].alias("code"), pair[1].alias("label"))
 
 
 def label_lookup(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -116,7 +116,7 @@ def write_matrix_text(spark: SparkSession, path: str, out: str, mode: str = "app
         for c in columns
     ]
     lines = W.text_lines(W.matrix_atoms(labelled.select("subject", "time", *checked)))
-    writers.write_lines(lines, out, ["subject", "time"], mode=mode)
+    writers.write_lines(stage_in(spark)(lines.select("subject", "time", "line")), out, ["subject", "time"], mode=mode)
 
 
 def write_sensor_documents(spark: SparkSession, path: str, out: str, zone: str = "UTC") -> None:
@@ -145,4 +145,4 @@ def write_series_blocks(
     models = models.join(series.select("label_place", "label").distinct(), "label_place")
     atoms = S.with_inferred(S.observations(series, keys), inferred)
     lines = S.model_block_lines(atoms, models, keys)
-    writers.write_lines(lines, out, ["model", "section", "time", "place"], mode=mode)
+    writers.write_lines(stage_in(spark)(lines), out, ["model", "section", "time", "place"], mode=mode)

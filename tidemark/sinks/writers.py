@@ -47,5 +47,8 @@ def write_clustered(
 def write_lines(
     lines: DataFrame, path: str, order: Sequence[str], column: str = "line", mode: str = "append"
 ) -> None:
-    """Text lines in ``order``: file by file and line by line."""
+    """Text lines in ``order``: file by file and line by line.
+
+    Sorting samples its input first, so pass a stored frame if it is costly.
+    """
     lines.orderBy(*order).select(column).write.mode(_checked(mode)).text(path)

@@ -1333,7 +1333,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = shared_folder(spark, "kernel")
     lines = W.text_lines(W.matrix_atoms(_labelled(spark, sf)))
-    writers.write_lines(lines, folder, ["subject", "time"])
+    writers.write_lines(stage_in(spark)(lines.select("subject", "time", "line")), folder, ["subject", "time"])
     return spark.read.text(folder)
 
 
@@ -1421,7 +1421,7 @@ define(
 def _(spark, sf):
     folder = shared_folder(spark, "models")
     lines = S.model_block_lines(S.observations(T.series(spark, sf)), _models(spark, sf), ["model_id"])
-    writers.write_lines(lines, folder, ["model", "section", "time", "place"])
+    writers.write_lines(stage_in(spark)(lines), folder, ["model", "section", "time", "place"])
     return spark.read.text(folder)
 
 
