@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import uniform
 
 
-def _positions(coords: DataFrame) -> DataFrame:
-    """Distinct (vessel, time) keys; the join reuses this partitioning."""
-    return coords.select(F.col("vessel").alias("_vessel"), F.col("time").alias("_time")).distinct()
+def located_keys(coords: DataFrame) -> DataFrame:
+    """Distinct (vessel, time) of the positions.
+
+    Store it before joining when a vessel and time may hold a large share of the
+    events: a join right on top of a distinct is not split by adaptive execution.
+    """
+    return coords.select("vessel", "time").distinct()
 
 
-def drop_located(events: DataFrame, coords: DataFrame, vessel: Column, time: Column) -> DataFrame:
-    """Events without a coordinate of the same vessel at the same time."""
-    at = _positions(coords)
+def drop_located(events: DataFrame, located: DataFrame, vessel: Column, time: Column) -> DataFrame:
+    """Events whose vessel and time are not among the located keys."""
+    at = located.select(F.col("vessel").alias("_vessel"), F.col("time").alias("_time"))
     return events.join(at, (vessel == at["_vessel"]) & (time == at["_time"]), "left_anti")
 
 
 def drop_located_intervals(
-    atoms: DataFrame, coords: DataFrame, point_events: tuple[str, ...]
+    atoms: DataFrame, located: DataFrame, point_events: tuple[str, ...]
 ) -> DataFrame:
     """Interval atoms at a time point, less point-like ones with a located vessel.
 
     The key is null for all other names, so they are never matched.
     """
     first_vessel = F.when(F.col("hle").isin(*point_events), F.get("vessels", F.lit(0)))
-    return drop_located(atoms, coords, first_vessel, F.col("time"))
+    return drop_located(atoms, located, first_vessel, F.col("time"))
 
 
 def drop_far_from_coast(

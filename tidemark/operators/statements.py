@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import FRAME_STEP
 from tidemark.functions import atoms as A
 from tidemark.operators import ordering
+from tidemark.session import Stage, keep
 
 # Names a statement may use, and the labels activities are given.
 MOVEMENTS = ("walking", "active", "inactive", "running", "abrupt")
@@ -183,16 +184,16 @@ def video_offsets(times: DataFrame, gap: int = FRAME_STEP) -> DataFrame:
     return running.select("video", (F.col("until") - F.col("length")).alias("offset"))
 
 
-def shift_videos(atoms: DataFrame, gap: int = FRAME_STEP) -> DataFrame:
+def shift_videos(atoms: DataFrame, gap: int = FRAME_STEP, stage: Stage = keep) -> DataFrame:
     """Moves every video behind the one before it; ``time`` is the shifted time.
 
-    The offsets are one row per video; adaptive execution broadcasts them while
-    they are small.
+    The offsets are one row per video. Staged, they join straight from a scan:
+    broadcast if small, else with a shuffle that can split a video holding most
+    atoms.
     """
+    offsets = stage(video_offsets(atoms.select("video", "time"), gap))
     return (
-        atoms.join(video_offsets(atoms.select("video", "time"), gap), "video")
-        .withColumn("time", F.col("time") + F.col("offset"))
-        .drop("offset")
+        atoms.join(offsets, "video").withColumn("time", F.col("time") + F.col("offset")).drop("offset")
     )
 
 

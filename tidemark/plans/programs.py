@@ -60,7 +60,7 @@ def read_recording_atoms(spark: SparkSession, path: str, tags=R.STATEMENT_FILES)
 def write_recordings(spark: SparkSession, path: str, out: str) -> None:
     """All videos one after the other on a single time axis, one document per time."""
     stage = stage_in(spark)
-    moved = ST.shift_videos(stage(read_recording_atoms(spark, path)))
+    moved = ST.shift_videos(stage(read_recording_atoms(spark, path)), stage=stage)
     atoms = moved.withColumn("atom", ST.render_recording())
     documents = pairing.same_time_pairs(stage(atoms), [], _RECORDING_ORDER)
     writers.write_clustered(documents, out)
@@ -80,7 +80,7 @@ def write_recordings_per_video(
     step later, else with that of the same time.
     """
     stage = stage_in(spark)
-    numbers = R.numbered_videos(R.read_lines(spark, path))
+    numbers = stage(R.numbered_videos(R.read_lines(spark, path)))
     atoms = stage(
         read_recording_atoms(spark, path)
         .withColumn("atom", ST.render_recording())
@@ -92,8 +92,10 @@ def write_recordings_per_video(
         documents = pairing.same_time_pairs(atoms, ["number"], _RECORDING_ORDER)
     documents = stage(documents)
     name = F.concat(F.lit(f"{prefix}-"), F.col("number").cast("string"))
-    names = pairing.activity_flags(documents, ["number"]).select(
-        "number", pairing.dataset_name(name).alias("dataset")
+    names = stage(
+        pairing.activity_flags(documents, ["number"]).select(
+            "number", pairing.dataset_name(name).alias("dataset")
+        )
     )
     writers.write_examples(documents.join(names, "number").drop("number"), out)
 

@@ -46,7 +46,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stage_in(spark: SparkSession, purpose: str = "stage") -> Callable[[DataFrame], DataFrame]:
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """The stage that stores nothing."""
+    return frame
+
+
+def stage_in(spark: SparkSession, purpose: str = "stage") -> Stage:
     """A function that stores a frame in the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.

@@ -214,12 +214,12 @@ def _(spark, sf):
     return batching.batch_by_rows(events, 10, ["event_id"], ordering.arrival_slices("event_id"))
 
 
-def _batches(spark, sf, stage=True):
+def _batches(spark, sf):
     return V.build_batches(
         T.points(spark, sf),
         T.intervals(spark, sf),
         OPTIONS,
-        stage=stage_in(spark) if stage else V.keep,
+        stage=stage_in(spark),
     )
 
 
@@ -572,7 +572,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     points = T.points(spark, sf).select("seq", "lle", "time", "vessel")
-    return noise.drop_located(points, T.coords(spark, sf), points["vessel"], points["time"])
+    located = stage_in(spark)(noise.located_keys(T.coords(spark, sf)))
+    return noise.drop_located(points, located, points["vessel"], points["time"])
 
 
 @query(
@@ -584,7 +585,8 @@ def _(spark, sf):
 def _(spark, sf):
     times = T.points(spark, sf).select("time").distinct()
     found = I.contain_join(times, T.intervals(spark, sf))
-    kept = noise.drop_located_intervals(found, T.coords(spark, sf), ("stopped", "lowSpeed"))
+    located = stage_in(spark)(noise.located_keys(T.coords(spark, sf)))
+    kept = noise.drop_located_intervals(found, located, ("stopped", "lowSpeed"))
     return kept.select("time", "seq", "hle")
 
 
@@ -897,7 +899,8 @@ def _(spark, sf):
   FROM (SELECT video, max(time) + 40 AS length FROM recorded GROUP BY 1)) o USING (video)""",
 )
 def _(spark, sf):
-    moved = ST.shift_videos(_recorded(spark, sf))
+    stage = stage_in(spark)
+    moved = ST.shift_videos(stage(_recorded(spark, sf)), stage=stage)
     return moved.select("seq", "role", "time", ST.render_recording().alias("atom"))
 
 
