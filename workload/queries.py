@@ -653,6 +653,15 @@ def _(spark, sf):
     )
 
 
+@query("noise_by_distance")
+def _(spark, sf):
+    # Drawn by a hash SQL engines do not share, so there is no SQL for it.
+    segments = coast.coast_segments(T.coastline(spark, sf))
+    distances = stage_in(spark)(coast.coast_distance(T.coords(spark, sf), segments))
+    points = T.points(spark, sf).select("seq", "lle", "time", "vessel")
+    return noise.drop_far_from_coast(points, distances, threshold_m=5_000.0)
+
+
 # --------------------------------------------------------------------------
 # Recording statements
 # --------------------------------------------------------------------------
