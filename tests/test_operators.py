@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import atoms as A

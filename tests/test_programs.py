@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from tidemark.config import BatchOptions, FileInput, StoredInput
 from tidemark.plans import programs

@@ -17,7 +17,6 @@ from tidemark.operators import (
     coast,
     examples,
     intervals as I,
-    nesting,
     noise,
     ordering,
     pairing,
