@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import pieces, simhash, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +24,53 @@ def query(function: Query) -> Query:
     return run
 
 
+def piece_model() -> str:
+    """Where this machine keeps the public piece model; TIDEMARK_PIECE_MODEL names another file."""
+    if path := os.environ.get("TIDEMARK_PIECE_MODEL"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside ten-word windows of benchmark items."""
+    return winnow.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op3_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, len, array_to_string(w[i:i + len - 1], ' ') AS g FROM
+    (SELECT *, least(len(w), 10) AS len, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, i, l.len, array_to_string(w[i:i + l.len - 1], ' ') AS g FROM
+    (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT len FROM iw) l WHERE i + l.len - 1 <= len(w)),
+h AS (SELECT r, i, dw.len, item_id FROM dw JOIN iw USING (len, g)),
+n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + len)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS k, string_agg(s, ',' ORDER BY s) AS s FROM
+    (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(t.k, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
+    coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids and the text they decode to, as digests."""
+    return pieces.token_digest(read(spark, sf_dir, "documents"), piece_model())
+
+
 @query
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 64-bit fingerprint and the least id reachable over at most 2 differing bits."""
