@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pieces, simhash, winnow
+from tidemark.llm import pieces, quality, simhash, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels of those that are not held out."""
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside ten-word windows of benchmark items."""
