@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pieces, quality, simhash, winnow
+from tidemark.llm import hmm, pieces, quality, simhash, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
 
+@query
+def op5_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the unigram base and the hidden Markov model."""
+    return hmm.text_scores(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids and the text they decode to, as digests."""
