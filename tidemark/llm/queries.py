@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import hmm, pieces, quality, simhash, winnow
+from tidemark.llm import hmm, html, pieces, quality, simhash, warc, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,19 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digest(read(spark, sf_dir, "documents"), piece_model())
 
 
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    texts = html.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into web archives and read back."""
+    return warc.archived(spark, read(spark, sf_dir, "pages"))
+
+
 @query
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 64-bit fingerprint and the least id reachable over at most 2 differing bits."""
