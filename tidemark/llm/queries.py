@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hmm, html, pieces, quality, simhash, warc, winnow
+from tidemark.llm import hmm, html, licenses, pieces, quality, simhash, urls, warc, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,22 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
 
+#: The given rules on hosts and paths.
+URL_RULES = [
+    urls.Rule("com/", "allow"),
+    urls.Rule("example.com/en/", "block"),
+    urls.Rule("www.example.com/en/", "allow"),
+    urls.Rule("net/es/", "block"),
+    urls.Rule("net/fr/", "block"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule, or by the model learnt from the pages that a rule judges."""
+    return urls.judged(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 @query
 def op5_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under the unigram base and the hidden Markov model."""
@@ -91,6 +107,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and the labels of the signature rules."""
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written into web archives and read back."""
