@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import pieces, reach_workers
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'<]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[\"'])*+)(?:>|(?=<)|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'<=]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[\"'=])*+)(?:>|(?=<)|\Z)", re.S
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)

@@ -205,7 +205,7 @@ def _words_of(docs: DataFrame, keywords: list[str]) -> DataFrame:
         gate = gate | F.contains("low", F.lit(stem))
     parted = F.concat(F.lit(" "), F.trim(F.regexp_replace("text", _APART, " ")), F.lit(" "))
     found = found.select("doc_id", gate.alias("gate"), parted.alias("words"))
-    n_words = F.greatest(_spaces(F.col("words")) - 1, F.lit(0)).cast("bigint")
+    n_words = F.when(F.length("words") > 2, _spaces(F.col("words")) - 1).otherwise(0).cast("bigint")
     words = F.when(F.col("gate") & (n_words > 0), F.translate("words", _UPPER, _LOWER))
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), words.alias("words"))
 

@@ -370,15 +370,16 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     apart and all stay. Rows whose text has no words (null, empty, white space) hold nothing that could be near to
     another text and stay as well.
     """
-    worded = docs.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]") & F.col(f"`{id_column}`").isNotNull())
+    identity = F.col(f"`{id_column}`")
+    out, again = free_name(docs, "_lost"), free_name(docs, "_again")
+    worded = docs.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]") & identity.isNotNull())
     groups = simhash_groups(worded, id_column, text, how, search)
-    lost = groups.where(F.col("component_id") < F.col(f"`{id_column}`")).select(F.col(f"`{id_column}`").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col(f"`{id_column}`") == F.col("_lost"), "left_anti")
-    order = free_name(docs, "_row")
-    ids = kept.where(F.col(f"`{id_column}`").isNotNull()).groupBy(f"`{id_column}`").count().where("count > 1").select(F.col(f"`{id_column}`").alias("_id"))
+    lost = groups.where(F.col("component_id") < F.col(f"`{id_column}`")).select(F.col(f"`{id_column}`").alias(out)).distinct()
+    kept = docs.join(lost, identity == F.col(out), "left_anti")
     # Ids that occur once, nearly all of them, are not gathered by id.
-    single = kept.join(ids, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")), "left_anti")
-    fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = kept.join(ids, F.col(f"`{id_column}`") == F.col("_id"), "left_semi")
-    several = again.groupBy(F.col(f"`{id_column}`").alias("_id")).agg(F.min_by(fields, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(order)).select(f"`{order}`.*")
-    return single.unionByName(several)
+    ids = kept.where(identity.isNotNull()).groupBy(f"`{id_column}`").count().where("count > 1").select(F.col(f"`{id_column}`").alias(again))
+    single = kept.join(ids, identity == F.col(again), "left_anti")
+    several = kept.join(ids, identity == F.col(again), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = several.groupBy(identity.alias(again)).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_first"))
+    return single.unionByName(several.select("_first.*"))
