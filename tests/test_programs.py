@@ -160,8 +160,8 @@ def test_sensor_csv(spark, tmp_path):
     programs.write_sensor_documents(spark, str(tmp_path / "wide.csv"), out)
     rows = [tuple(r) for r in spark.read.parquet(out).orderBy("time").collect()]
     assert rows == [
-        (1583020810, ["holdsAt(eat,1583020810)"], ["happensAt(oven,1583020810)"]),
-        (1583020811, ["holdsAt(0,1583020811)"], []),
+        (1583020810, ["holdsAt(eat,1583020810)"], ["happensAt(oven,1583020810)"], "sensors"),
+        (1583020811, ["holdsAt(0,1583020811)"], [], "sensors"),
     ]
 
 

@@ -30,5 +30,6 @@ def epoch_seconds(c: Column, zone: str = "UTC", pattern: str = "yyyy-MM-dd HH:mm
 
 
 def uniform(*columns: Column, seed: int = 0) -> Column:
-    """Reproducible pseudo-random number in [0, 1) drawn per key, not per run."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """Reproducible pseudo-random number in [0, 1) drawn per key, not per run: 32 bits of the MD5 of the joined key."""
+    key = F.concat_ws("|", *[c.cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))

@@ -28,12 +28,12 @@ def merge_chunks(
     """Concatenates each run of ``size`` examples of a dataset, in order.
 
     The time is that of the first one; runs do not cross datasets. ``order``
-    starts with time and is unique within a dataset.
+    starts with a non-negative integer and is unique within a dataset.
     """
     if size <= 1:
         return examples
     numbered = ordering.number_rows(
-        examples, order, ordering.time_slices(), ["dataset"], "_row"
+        examples, order, ordering.time_slices(order[0]), ["dataset"], "_row"
     )
     if not ascending:
         counts = examples.groupBy("dataset").agg(F.count("*").alias("_all"))
@@ -63,7 +63,7 @@ def example_atoms(examples: DataFrame, keys: Sequence[str]) -> DataFrame:
 def merge_all(
     examples: DataFrame, order: Sequence[str] = ("time", "part"), max_atoms: int = 100_000
 ) -> DataFrame:
-    """All examples of each dataset as one, in parts of about ``max_atoms`` atoms.
+    """All examples of each dataset as one, in parts of ``max_atoms`` atoms.
 
     (dataset, part, time, annotation, narrative); the time is that of the first
     example. A dataset of any size is cut into ordered parts, never collected

@@ -134,12 +134,12 @@ def code_dictionary(spark: SparkSession) -> DataFrame:
 def label_lookup(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replaces the codes in ``columns`` by labels; an unknown code gives null.
 
-    The dictionary has a fixed number of rows, so it is always broadcast.
+    Whether the dictionary is broadcast follows from its measured size.
     """
     out = df
     for c in columns:
         labels = dictionary.select(F.col("code").alias(c), F.col("label").alias(f"_{c}"))
-        out = out.join(F.broadcast(labels), c, "left")
+        out = out.join(labels, c, "left")
     return out.select(
         *[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )

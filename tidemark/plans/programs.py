@@ -42,13 +42,13 @@ tables.register_input("vessel_files", vessel_examples)
 
 
 def write_vessel_documents(
-    spark: SparkSession, files: FileInput, out: str, merge_by_time: bool = False
+    spark: SparkSession, files: FileInput, out: str, merge_by_time: bool = False, dataset: str = "vessels"
 ) -> None:
-    """One stored document per batch and time point, clustered by time."""
+    """One stored document per batch and time point, clustered by time, under a dataset's name."""
     documents = V.batch_documents(
         vessel_batches(spark, files), files.batch, merge_by_time, stage_in(spark)
     )
-    writers.write_clustered(documents, out)
+    writers.write_clustered(documents.withColumn("dataset", F.lit(dataset)), out)
 
 
 def read_recording_atoms(spark: SparkSession, path: str, tags=R.STATEMENT_FILES) -> DataFrame:
@@ -57,13 +57,13 @@ def read_recording_atoms(spark: SparkSession, path: str, tags=R.STATEMENT_FILES)
     return ST.recording_atoms(ST.parse_statements(statements))
 
 
-def write_recordings(spark: SparkSession, path: str, out: str) -> None:
+def write_recordings(spark: SparkSession, path: str, out: str, dataset: str = "recordings") -> None:
     """All videos one after the other on a single time axis, one document per time."""
     stage = stage_in(spark)
     moved = ST.shift_videos(stage(read_recording_atoms(spark, path)), stage=stage)
     atoms = moved.withColumn("atom", ST.render_recording())
     documents = pairing.same_time_pairs(stage(atoms), [], _RECORDING_ORDER)
-    writers.write_clustered(documents, out)
+    writers.write_clustered(documents.withColumn("dataset", F.lit(dataset)), out)
 
 
 def write_recordings_per_video(
@@ -121,12 +121,13 @@ def write_matrix_text(spark: SparkSession, path: str, out: str, mode: str = "app
     writers.write_lines(stage_in(spark)(lines.select("subject", "time", "line")), out, ["subject", "time"], mode=mode)
 
 
-def write_sensor_documents(spark: SparkSession, path: str, out: str, zone: str = "UTC") -> None:
+def write_sensor_documents(spark: SparkSession, path: str, out: str, zone: str = "UTC", dataset: str = "sensors") -> None:
     """A wide activity CSV as documents; the last two columns are activity and time."""
     rows = tables.read_wide(spark, path)
     *sensors, activity, timestamp = rows.columns
     timed = rows.withColumn("_time", epoch_seconds(F.col(timestamp), zone))
-    writers.write_clustered(W.sensor_documents(timed, sensors, activity, "_time"), out)
+    documents = W.sensor_documents(timed, sensors, activity, "_time")
+    writers.write_clustered(documents.withColumn("dataset", F.lit(dataset)), out)
 
 
 def write_series_blocks(

@@ -89,12 +89,14 @@ def read_examples(spark: SparkSession, options: StoredInput) -> DataFrame:
 def training_examples(spark: SparkSession, options: StoredInput) -> DataFrame:
     """Stored examples with the target kept, merged as the purpose asks.
 
-    Training merges chunks of ``chunk_size``, anything else merges each dataset.
+    Training merges chunks of ``chunk_size``, anything else merges each dataset, both in the order of ``sort_by`` (a
+    non-negative integer column), then time and part; without it by time and part.
     """
     kept = E.keep_target(read_examples(spark, replace(options, sort_by=None)), options.target)
+    order = tuple(dict.fromkeys([options.sort_by or "time", "time", "part"]))
     if options.purpose == "training":
-        return E.merge_chunks(kept, options.chunk_size, ascending=options.ascending)
-    return E.merge_all(kept, max_atoms=options.max_atoms)
+        return E.merge_chunks(kept, options.chunk_size, order, ascending=options.ascending)
+    return E.merge_all(kept, order, max_atoms=options.max_atoms)
 
 
 # Pluggable inputs: a function from session and options to examples, one entry

@@ -40,12 +40,11 @@ def point_events(
     they are joined by a comma into ``vessel``.
     """
     name = _field(layout.name)
-    pair = F.concat_ws(",", *[_field(i) for i in layout.pair])
     events = lines.select(
         "seq",
         name.alias("lle"),
         _field(layout.time).try_cast("bigint").alias("time"),
-        F.when(name == config.PROXIMITY_EVENT, pair).otherwise(_field(layout.vessel)).alias("vessel"),
+        _vessel(layout).alias("vessel"),
         F.when(name.isin(*config.AREA_EVENTS), _field(layout.area)).alias("area"),
     )
     if names is not None:
@@ -53,30 +52,46 @@ def point_events(
     return events.where(F.col("time").isNotNull() & F.col("vessel").isNotNull())
 
 
+def _vessel(layout: PointLayout) -> Column:
+    """The vessel of a point event, both of a proximity event; null where one is missing or empty."""
+    both = [F.when(F.length(_field(i)) > 0, _field(i)) for i in layout.pair]
+    pair = F.when(F.size(F.array_compact(F.array(*both))) == len(both), F.concat_ws(",", *both))
+    return F.when(_field(layout.name) == config.PROXIMITY_EVENT, pair).otherwise(_field(layout.vessel))
+
+
 def point_rejects(
     lines: DataFrame,
     names: Sequence[str] | None = config.POINT_EVENTS,
     layout: PointLayout = PointLayout(),
 ) -> DataFrame:
-    """Lines of the listed names without a usable time or vessel."""
+    """Lines of the listed names that ``point_events`` leaves out."""
     listed = lines if names is None else lines.where(_field(layout.name).isin(*names))
-    return listed.where(
-        _field(layout.time).try_cast("bigint").isNull() | _field(layout.vessel).isNull()
-    )
+    return listed.where(_field(layout.time).try_cast("bigint").isNull() | _vessel(layout).isNull())
+
+
+def _position_columns(layout: PointLayout) -> list[Column]:
+    return [
+        _field(layout.time).try_cast("bigint").alias("time"),
+        _field(layout.vessel).alias("vessel"),
+        _field(layout.lon).try_cast("double").alias("lon"),
+        _field(layout.lat).try_cast("double").alias("lat"),
+    ]
 
 
 def positions(lines: DataFrame, layout: PointLayout = PointLayout()) -> DataFrame:
     """Positions out of the point-event lines: (time, vessel, lon, lat)."""
-    return (
-        lines.where(_field(layout.name) == config.COORD_EVENT)
-        .select(
-            _field(layout.time).try_cast("bigint").alias("time"),
-            _field(layout.vessel).alias("vessel"),
-            _field(layout.lon).try_cast("double").alias("lon"),
-            _field(layout.lat).try_cast("double").alias("lat"),
-        )
-        .dropna()
-    )
+    coords = lines.where(_field(layout.name) == config.COORD_EVENT)
+    return coords.select(*_position_columns(layout)).dropna()
+
+
+def coord_rejects(lines: DataFrame, layout: PointLayout = PointLayout()) -> DataFrame:
+    """Coordinate lines that ``positions`` leaves out."""
+    coords = lines.where(_field(layout.name) == config.COORD_EVENT)
+    columns = _position_columns(layout)
+    missing = columns[0].isNull() | columns[1].isNull()
+    for c in columns[2:]:
+        missing = missing | c.isNull() | F.isnan(c)
+    return coords.where(missing)
 
 
 def interval_events(

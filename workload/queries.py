@@ -652,9 +652,17 @@ def _(spark, sf):
     )
 
 
-@query("noise_by_distance")
+define("distances", ["coords", "segments"], SQL["coast_distance"][SQL["coast_distance"].rindex("SELECT vessel, time, round(1000") :])
+
+
+@query(
+    "noise_by_distance",
+    ["points", "distances"],
+    """SELECT seq, lle, time, vessel FROM (SELECT p.seq, p.lle, p.time, p.vessel, 1 - 5000.0 / nullif(d.dist_m, 0) AS odds,
+ CAST(concat('0x', substr(md5(concat_ws('|', p.vessel, p.time, p.lle, p.seq, '0')), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
+ FROM points p LEFT JOIN distances d USING (vessel, time)) WHERE NOT coalesce(draw <= odds, false)""",
+)
 def _(spark, sf):
-    # Drawn by a hash SQL engines do not share, so there is no SQL for it.
     segments = coast.coast_segments(T.coastline(spark, sf))
     distances = stage_in(spark)(coast.coast_distance(T.coords(spark, sf), segments))
     points = T.points(spark, sf).select("seq", "lle", "time", "vessel")
@@ -1111,6 +1119,22 @@ def _(spark, sf):
     )
 
 
+@query(
+    "merge_all_parts",
+    ["stored"],
+    """SELECT dataset, CAST((n - 1) // 500 AS BIGINT) AS part,
+ coalesce(string_agg(atom, '|' ORDER BY n) FILTER (WHERE role = 'annotation'), '') AS annotation,
+ coalesce(string_agg(atom, '|' ORDER BY n) FILTER (WHERE role = 'narrative'), '') AS narrative FROM
+ (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY time, part, place, role) AS n FROM
+ (SELECT dataset, time, part, 'annotation' AS role, unnest(annotation) AS atom, unnest(range(len(annotation))) AS place FROM stored
+ UNION ALL SELECT dataset, time, part, 'narrative', unnest(narrative), unnest(range(len(narrative))) FROM stored))
+ GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    options = StoredInput(_stored(spark, sf), _DATASETS, purpose="testing", max_atoms=500)
+    return sources.read_input("stored", spark, options).select("dataset", "part", joined("annotation"), joined("narrative"))
+
+
 @query(
     "merge_all",
     ["stored"],
