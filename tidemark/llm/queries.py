@@ -137,6 +137,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, read(spark, sf_dir, "pages"))
 
 
+# Five hexadecimal digits of the SHA-1 are four base32 letters.
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS owner FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '')
+        AS payload_digest,
+    CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM o
+"""
+
+
 @query
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 64-bit fingerprint and the least id reachable over at most 2 differing bits."""

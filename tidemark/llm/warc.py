@@ -63,17 +63,20 @@ def write_warc(pages: DataFrame, folder: str, how: Writing = Writing()) -> DataF
 
     The payload is the html in UTF-8, null being empty. Of rows with equal payloads of ``how.least`` bytes or more, those
     with the largest page_id are responses and the others revisit it; a null page_id is never the largest, and where
-    all are null all are responses. Which row that is comes from an aggregate on the payload's digest; a payload shared
-    by many rows is split over tasks by the join. Each attempt of a task writes files of its own; the returned list,
+    all are null all are responses. Which row that is comes from an aggregate on the payload's digest. Digests of several
+    rows are stored before they are joined, so that both inputs of the join lie directly behind a shuffle and adaptive
+    execution splits the rows of a common payload over tasks. Each attempt of a task writes files of its own; the returned list,
     which is stored with Spark's commit, names those of the attempts that count, so a lost executor leaves no half file
     in it.
     """
     reach_workers(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    owners = rows.groupBy("sha1").agg(F.max("page_id").alias("owner"))
-    owned = rows.join(owners.hint("shuffle_hash"), "sha1")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("owner")), F.lit(False)) & (F.octet_length("payload") >= how.least)
+    owners = rows.groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("sha1", "owner")
+    owned = rows.join(stage(owners, "owners"), "sha1", "left")
+    # A payload that occurs once has no owner and is a response.
+    other = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    revisit = other & (F.octet_length("payload") >= how.least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = FileSystem.from_uri(folder)
