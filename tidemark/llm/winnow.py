@@ -184,7 +184,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
     # Row numbers are fixed once the table is written.
     seen = stage(seen.withColumn("row", F.monotonically_increasing_id()), "seen")
     places = seen.where(F.size("places") > 0).select("row", F.inline("places"))
-    hits = places.join(windows.select("item_id", "length", "a", "b").distinct(), ["length", "a", "b"])
+    # Stored, so that the join has a plain shuffle on both sides and a passage found all over can be split.
+    known = stage(windows.select("item_id", "length", "a", "b").distinct(), "known")
+    hits = places.join(known, ["length", "a", "b"])
     return seen.select("row", "doc_id", "n_words"), hits.select("row", "start", "length", "item_id")
 
 
