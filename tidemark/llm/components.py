@@ -14,7 +14,8 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     Nodes may be of any type that orders. Null ends and loops are ignored. Every round hangs the neighbours of a node on
     its least neighbour, first the larger ones, then the smaller ones; the number of rounds grows with the logarithm of
     the longest path. Stars are built with aggregates that combine before the shuffle, never by gathering a node's
-    neighbours. Raises if ``max_rounds`` do not suffice, rather than return a partial answer.
+    neighbours, and stored before they are joined to the links, so that adaptive execution can split a node with very
+    many links. Raises if ``max_rounds`` do not suffice, rather than return a partial answer.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -33,9 +34,14 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The least neighbour of each node that has a lower one: (a, m)."""
+    return stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hangs the larger neighbours of each node on the least of it and its neighbours."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     # Seen from b, a is a larger neighbour; b's least neighbour is below b, or b itself is the least.
     return (
         edges.join(least.withColumnRenamed("a", "b"), "b", "left")
@@ -46,7 +52,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hangs each node and its smaller neighbours on the least of those."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     return (
         edges.join(least, "a")
         .where("b <> m")

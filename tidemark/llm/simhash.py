@@ -311,9 +311,8 @@ def _descend(rows: DataFrame, search: Search, most: int, bits: int = 4) -> DataF
     pair = ["trie", "u", "v", "level", "diff"]
     while True:
         sizes = rows.groupBy(*pair).count()
-        large = sizes.where((F.col("count") > most) & (F.col("level") + bits <= search.depth)).select(*pair)
-        n_large = large.limit(1).count()
-        if not n_large:
+        large = stage(sizes.where((F.col("count") > most) & (F.col("level") + bits <= search.depth)).select(*pair), "large")
+        if large.isEmpty():
             return rows
         rows = stage(rows, "tries")
         marked = rows.join(large.withColumn("_large", F.lit(True)), pair, "left")
@@ -356,7 +355,9 @@ def simhash_groups(
     owners = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "owners")
     roots = components(linked(owners.select("fp"), how, search))
     rooted = owners.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join has a plain shuffle on both sides and a component of very many fingerprints can be split.
+    rooted = stage(rooted, "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     by_print = stage(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(by_print, "fp").select(
         F.col("id").alias(id_column), F.lower(F.hex("fp")).alias("fingerprint"), "component_id"
