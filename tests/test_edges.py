@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BatchOptions, StoredInput
 from tidemark.functions import atoms as A
-from tidemark.operators import coast, nesting
+from tidemark.operators import batching, coast, examples, intervals as I, nesting, ordering
 from tidemark.sinks import writers
 from tidemark.sources import tables, vessels
 from tidemark.streaming.minibatches import RowBatchStream, TimeBatchStream
@@ -80,3 +80,35 @@ def test_merge_follows_the_sort_column(spark, tmp_path):
     for sort_by, want in (("rank", [4, 3, 2, 1, 0]), (None, [0, 1, 2, 3, 4])):
         options = StoredInput(str(tmp_path), ("d",), chunk_size=9, sort_by=sort_by)
         assert tables.training_examples(spark, options).first()["narrative"] == [f"t{t}" for t in want]
+
+
+def test_open_end_is_listed_up_to_the_last_point(spark):
+    points = spark.createDataFrame([(t,) for t in (10, 20, 5000)], "time long")
+    rows = [("open", 15, 1 << 40), ("early", -(1 << 40), 11), ("touching", 10, 20), ("apart", 6000, 7000)]
+    intervals = spark.createDataFrame(rows, "hle string, stime long, etime long")
+    got = {(r["hle"], r["time"]) for r in I.contain_join(points, intervals).collect()}
+    assert got == {("open", 20), ("open", 5000), ("early", 10)}
+    assert I.contain_join(points.limit(0), intervals).count() == 0
+
+
+def test_last_batch_ends_behind_its_events(spark):
+    points = spark.createDataFrame([(t,) for t in (-5, None, 1, 3_000_000_000, 3_000_000_001)], "time long")
+    bounds = batching.batch_bounds(batching.batch_times(batching.rank_times(points), 2))
+    assert [tuple(r)[:3] for r in bounds.orderBy("batch_id").collect()] == [(0, 0, 3_000_000_000), (1, 3_000_000_000, 3_000_000_002)]
+    assert {r["time"] for r in batching.early_points(points).collect()} == {-5, None}
+
+
+def test_many_parts_under_one_time(spark):
+    rows = spark.range(9_000).selectExpr("'a' AS dataset", "7L AS time", "id AS part", "array(string(id)) AS annotation", "array('n') AS narrative")
+    got = examples.merge_chunks(rows, 4_000).orderBy("chunk").collect()
+    assert [int(a) for r in got for a in r["annotation"]] == list(range(9_000))
+    assert [len(r["narrative"]) for r in got] == [4_000, 4_000, 1_000]
+
+
+def test_slices_follow_the_shared_prefix(spark):
+    names = spark.createDataFrame([(f"a/long/shared/prefix/{i:05}.csv",) for i in range(500)], "file string")
+    slices = ordering.spread_slices(names, "file", 2, 4)
+    numbered = ordering.number_rows(names, ["file"], slices, name="number")
+    assert [r["number"] for r in numbered.orderBy("file").collect()] == list(range(1, 501))
+    assert names.select(slices[-1]).distinct().count() == 500
+    assert ordering.number_rows(names.limit(0), ["file"], ordering.spread_slices(names.limit(0), "file", 2)).count() == 0

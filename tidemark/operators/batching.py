@@ -24,6 +24,11 @@ def rank_times(points: DataFrame, origin: int = 0) -> DataFrame:
     )
 
 
+def early_points(points: DataFrame, origin: int = 0) -> DataFrame:
+    """The points that ``rank_times`` leaves out: before ``origin``, where the first batch starts, or without a time."""
+    return points.where(F.coalesce(F.col("time") < origin, F.lit(True)))
+
+
 def batch_times(
     ranked: DataFrame, size: int, first_batch: int = 0, drop_dangling_tail: bool = False
 ) -> DataFrame:
@@ -53,7 +58,8 @@ def batch_bounds(
     """One row per batch: start, end, first and last event time, distinct times.
 
     A batch starts where it opens (the first one at ``origin``) and ends where
-    the next one starts, the last one at ``end_of_time``. The end is found by
+    the next one starts, the last one at ``end_of_time`` or, if its events reach
+    that far, behind the last of them. The end is found by
     sending each opening time to the batch before it, so no ordered window over
     all batches is needed.
     """
@@ -67,7 +73,7 @@ def batch_bounds(
         F.when(F.col("batch_id") == first_batch, F.lit(origin).cast("bigint"))
         .otherwise(F.min("own"))
         .alias("batch_start"),
-        F.coalesce(F.min("following"), F.lit(end_of_time).cast("bigint")).alias("batch_end"),
+        F.coalesce(F.min("following"), F.greatest(F.lit(end_of_time).cast("bigint"), F.max("own") + 1)).alias("batch_end"),
         F.min("own").alias("first_time"),
         F.max("own").alias("last_time"),
         F.count("own").alias("n_times"),

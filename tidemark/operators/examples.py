@@ -28,13 +28,15 @@ def merge_chunks(
     """Concatenates each run of ``size`` examples of a dataset, in order.
 
     The time is that of the first one; runs do not cross datasets. ``order``
-    starts with a non-negative integer and is unique within a dataset.
+    starts with a non-negative integer and is unique within a dataset. However
+    many examples share a time, a window holds at most 4,096 of their parts.
     """
     if size <= 1:
         return examples
-    numbered = ordering.number_rows(
-        examples, order, ordering.time_slices(order[0]), ["dataset"], "_row"
-    )
+    slices = ordering.time_slices(order[0])
+    if tuple(order[1:]) == ("part",):
+        slices += [F.col(order[0]), F.shiftright("part", 12)]
+    numbered = ordering.number_rows(examples, order, slices, ["dataset"], "_row")
     if not ascending:
         counts = examples.groupBy("dataset").agg(F.count("*").alias("_all"))
         numbered = numbered.join(counts, "dataset").withColumn("_row", F.col("_all") - F.col("_row") + 1)

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import END_OF_TIME
-
 # A batch longer than this many buckets is listed under coarse buckets instead.
 _LONG_BATCH = 64
 _COARSE = 1024
@@ -66,7 +64,6 @@ def overlap_join(
     bounds: DataFrame,
     closed: bool = False,
     bucket_seconds: int = 4096,
-    end_of_time: int = END_OF_TIME,
 ) -> DataFrame:
     """One row per interval and batch it overlaps, by batch-id range.
 
@@ -76,7 +73,8 @@ def overlap_join(
     """
     calendar = batch_calendar(bounds, bucket_seconds)
     touch = 1 if closed else 0
-    reach = F.least(F.col("etime") + touch, F.lit(end_of_time)) - 1
+    # Whatever reaches beyond the last batch ends with it.
+    reach = F.least(F.col("etime") + touch, bounds.agg(F.max("batch_end")).scalar()) - 1
     first = F.greatest(F.col("stime") - touch, F.lit(0))
     located = locate(intervals, first, calendar, bucket_seconds, ("_b1", "_s1", "_e1"))
     located = locate(located, reach, calendar, bucket_seconds, ("_b2", "_s2", "_e2"))
@@ -152,11 +150,17 @@ def contain_join(
 
     Each interval is listed under the time buckets it reaches into and each
     point has one bucket, so the join has an equality key and no duplicates.
+    Intervals are listed only between the first and the last point, so one with
+    an open end is not listed up to the end of time.
     """
-    first, last = F.col("stime") + 1, F.col("etime") - 1
-    listed = intervals.where(first <= last).withColumn(
-        "_bucket",
-        F.explode(F.sequence(_bucket(first, bucket_seconds), _bucket(last, bucket_seconds))),
+    within = points.agg(F.min("time").alias("_low"), F.max("time").alias("_high"))
+    first = F.greatest(F.col("stime") + 1, F.col("_low"))
+    last = F.least(F.col("etime") - 1, F.col("_high"))
+    met = intervals.join(F.broadcast(within), (F.col("stime") < F.col("_high")) & (F.col("etime") > F.col("_low")))
+    listed = (
+        met.where((F.col("stime") + 1 < F.col("etime")) & (first <= last))
+        .withColumn("_bucket", F.explode(F.sequence(_bucket(first, bucket_seconds), _bucket(last, bucket_seconds))))
+        .drop("_low", "_high")
     )
     placed = points.withColumn("_bucket", _bucket(F.col("time"), bucket_seconds))
     return (

@@ -10,6 +10,7 @@ parent, or the rows of one finest slice.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,16 @@ def text_slices(column: str, *lengths: int) -> list[Column]:
     return [F.substring(F.col(column), 1, n) for n in lengths]
 
 
+def spread_slices(df: DataFrame, column: str, *lengths: int) -> list[Column]:
+    """Nested slices of a string column by the characters behind the prefix that all its values share.
+
+    The prefix is that of the least and the greatest value, the only two that reach the driver.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    shared = len(os.path.commonprefix([low or "", high or ""]))
+    return text_slices(column, *[shared + n for n in lengths])
+
+
 def time_slices(column: str = "time") -> list[Column]:
     return int_slices(column, 24, 12)
 

@@ -143,7 +143,7 @@ def write_series_blocks(
     """
     keys = ["label", "file"]
     series = tables.read_series(spark, folders)
-    slices = [F.col("label_place"), *ordering.text_slices("file", 8)]
+    slices = [F.col("label_place"), *ordering.spread_slices(series, "file", 2, 4, 6)]
     models = S.number_models(series.select("label_place", *keys), ["label_place", "file"], slices)
     models = models.join(series.select("label_place", "label").distinct(), "label_place")
     atoms = S.with_inferred(S.observations(series, keys), inferred)

@@ -188,6 +188,48 @@ def _(spark, sf):
     return batching.batch_bounds(_times(spark, sf))
 
 
+# Times far beyond the sentinel end of the last batch.
+_LATE = 5_000_000_000
+define("latespans", ["spans"], f"SELECT batch_id, first_time + {_LATE} AS first_time, last_time + {_LATE} AS last_time, n_times FROM spans")
+define(
+    "latebounds",
+    ["latespans"],
+    "SELECT a.batch_id, CASE WHEN a.batch_id = 0 THEN 0 ELSE a.first_time END AS batch_start,"
+    " coalesce(b.first_time, greatest(2000000000, a.last_time + 1)) AS batch_end, a.first_time, a.last_time, a.n_times"
+    " FROM latespans a LEFT JOIN latespans b ON b.batch_id = a.batch_id + 1",
+)
+
+
+def _late_bounds(spark, sf):
+    late = T.points(spark, sf).withColumn("time", F.col("time") + _LATE)
+    return batching.batch_bounds(batching.batch_times(batching.rank_times(late), 50))
+
+
+@query("batch_bounds_late", ["latebounds"], "SELECT * FROM latebounds")
+def _(spark, sf):
+    return _late_bounds(spark, sf)
+
+
+@query(
+    "overlap_join_late",
+    ["latebounds", "intervals"],
+    f"SELECT b.batch_id, i.seq, i.stime + {_LATE} AS stime, i.etime + {_LATE} AS etime FROM latebounds b JOIN intervals i"
+    f" ON i.stime + {_LATE} < b.batch_end AND i.etime + {_LATE} > b.batch_start",
+)
+def _(spark, sf):
+    late = T.intervals(spark, sf).withColumns({c: F.col(c) + _LATE for c in ("stime", "etime")})
+    return I.overlap_join(late, _late_bounds(spark, sf)).select("batch_id", "seq", "stime", "etime")
+
+
+# An origin within the events.
+_ORIGIN = 1_705_000_000
+
+
+@query("early_points", ["points"], f"SELECT seq, lle, time, vessel FROM points WHERE time < {_ORIGIN}")
+def _(spark, sf):
+    return batching.early_points(T.points(spark, sf), _ORIGIN).select("seq", "lle", "time", "vessel")
+
+
 @query("batch_count", ["spans"], "SELECT count(*) AS batches FROM spans")
 def _(spark, sf):
     return batching.batch_bounds(_times(spark, sf)).agg(F.count("*").alias("batches"))
