@@ -1,5 +1,7 @@
 """What lies off the usual data: cut-off lines, far positions, restarts, exact parts, stored output read again."""
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from tidemark.config import BatchOptions, StoredInput
@@ -73,6 +75,27 @@ def test_time_stream_ends_after_a_stop(spark, tmp_path):
     assert sorted(t for r in got for t in r["narrative"]) == [f"happensAt(gap_end(v),{t})" for t in (10, 12, 15)]
 
 
+def test_time_stream_of_early_rows_and_later_intervals(spark, tmp_path):
+    schema = "seq bigint, hle string, vessels array<string>, value string, stime bigint, etime bigint"
+    intervals = spark.createDataFrame([(1, "gap", ["v"], "nearPorts", 11, 40), (2, "gap", ["w"], "nearPorts", 14, 30)], schema)
+
+    def micro(*times):
+        return spark.createDataFrame([(t, "gap_end", t, "v", None) for t in times], "seq bigint, lle string, time bigint, vessel string, area string")
+
+    def atoms(*epochs):
+        root = tempfile.mkdtemp(dir=tmp_path)
+        places = (intervals, BatchOptions(size=2, target_events=("gap",)), f"{root}/state", f"{root}/out")
+        for epoch, times in enumerate(epochs):
+            TimeBatchStream(spark, *places).process(micro(*times), epoch)
+        TimeBatchStream(spark, *places).finish()
+        got = spark.read.parquet(f"{root}/out/batches").collect()
+        return sorted((r["batch_id"], a) for r in got for a in r["annotation"] + r["narrative"])
+
+    whole, cut = atoms((10, 12, 15, 21)), atoms((10, 12), (15, 21))
+    assert whole == cut and any("(w" in a or ",w" in a or "w)" in a for _, a in whole)
+    assert (0, "happensAt(gap_end(v),-3)") in atoms((-3,), (10, 12))
+
+
 def test_merge_follows_the_sort_column(spark, tmp_path):
     rows = [(t, 0, 9 - t, [], [f"t{t}"], "d") for t in range(5)]
     stored = spark.createDataFrame(rows, "time long, part long, rank long, annotation array<string>, narrative array<string>, dataset string")
