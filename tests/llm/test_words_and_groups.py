@@ -117,3 +117,80 @@ def test_one_of_near_copies_stays(spark):
     kept = S.first_of_groups(frame)
     assert kept.columns == frame.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*range(12), 300, 301, None], key=str)
+
+
+def shingle_set(text, k=5):
+    words = text.split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def similarity(x, y):
+    x, y = shingle_set(x), shingle_set(y)
+    return len(x & y) / len(x | y)
+
+
+def plain_firsts(rows, share=0.8):
+    """The least (id, place) of each set of rows connected by pairs of at least this similarity."""
+    label = list(range(len(rows)))
+    for i, (_, x) in enumerate(rows):
+        for j in range(i):
+            if similarity(x, rows[j][1]) >= share:
+                old, new = label[i], label[j]
+                label = [new if n == old else n for n in label]
+    return sorted(min((rows[i][0], i) for i in range(len(rows)) if label[i] == n)[1] for n in set(label))
+
+
+def rewritten(rng, words, at):
+    words = list(words)
+    for i in at:
+        words[i] = f"n{rng.randrange(10**9)}"
+    return words
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Pairs just above and below 0.8, chains, a family of copies beside another that shares passages, equal ids."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(40):
+        base = fresh(204)
+        texts += [base, rewritten(rng, base, range(10, 10 + 7 * (3 + i % 4), 7))]
+    shared = fresh(150)
+    for own in (fresh(100), fresh(100)):
+        texts += [shared + rewritten(rng, own, [rng.randrange(100)]) for _ in range(12)]
+    line = fresh(12)
+    texts += [fresh(146) + line * 30 for _ in range(6)]
+    chain = fresh(200)
+    for i in range(5):
+        texts.append(chain)
+        chain = chain[15:] + fresh(15)
+    rng.shuffle(texts)
+    rows = [(i % 100, " ".join(t)) for i, t in enumerate(texts)]
+    got = S.first_of_groups(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int"))
+    assert sorted(r["place"] for r in got.collect()) == plain_firsts(rows)
+
+
+def test_rows_that_share_a_repeated_line_stay(spark):
+    """146 own shingles and a line of 12 words 30 times: a similarity of 0.04."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(12)
+    rows = [(i, " ".join(fresh(146) + line * 30)) for i in range(8)]
+    assert S.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == 8
+
+
+def test_one_id_with_two_texts(spark):
+    """Id 5 has a copy of id 1 and a copy of id 7; one row of each text stays."""
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    frame = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, S.first_of_groups(frame).collect())) == [(1, a), (5, b)]
+
+
+def test_recall_does_not_hang_on_the_number_of_texts():
+    """Sets at a similarity of 0.8 share a band as often as the stated law says; nothing in it knows how many texts there are."""
+    rng = np.random.default_rng(9)
+    pairs = 3000
+    common, own = rng.integers(0, 1 << 63, (pairs, 160), np.uint64), rng.integers(0, 1 << 63, (2, pairs, 20), np.uint64)
+    keys = [S.band_keys(np.hstack((common, o)).ravel(), np.full(pairs, 180), S.SIMILAR) for o in own]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.998
+    assert (keys[0] == keys[1]).mean() == pytest.approx(0.8**5, abs=0.02)
