@@ -30,6 +30,16 @@ def test_main_text():
     assert html.main_text("<article><h1>A</h1>" + "<p>word, word</p>" * 3 + "<nav>n</nav></article><footer>f") == "A" + "\nword, word" * 3
 
 
+def test_siblings_of_the_best_container_stay():
+    """No article or main: heading, intro, closing words and a short second section stand beside the best container."""
+    ten = "".join(f"<p>Paragraph {i}, with words, and more words.</p>" for i in range(10))
+    page = f"<div id=wrap><h1>Title</h1><p>A long intro, in words</p>loose<div class=text>{ten}</div><h2>Second</h2><div><p>Short.</p></div>"
+    page += "<ul><li><a href=x>one</a><li><a href=y>two</a></ul><blockquote>Quote</blockquote><p>Closing</p><footer>f</footer></div>"
+    got = html.main_text(page).split("\n")
+    assert got[:3] == ["Title", "A long intro, in words", "loose"] and len(got) == 17
+    assert got[13:] == ["Second", "Short.", "Quote", "Closing"]
+
+
 def test_main_text_frame(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, None, "x"), (None, "u", "<b>" * 5000 + "y", "x")], "page_id long, url string, html string, text string")
     got = html.extract_text(frame)

@@ -192,7 +192,8 @@ def main_text(page: str | None) -> str:
 
     Paragraphs give their points to their parent and half of them to its parent; a container's sum is reduced by the
     share of its text that stands in links. The container with the most points, or the article or main part around it,
-    is kept whole, with siblings that have a fifth of its points; only parts that are never main text are left out.
+    is kept whole, with all siblings of which less than half stands in links; only parts that are never main text are
+    left out.
     """
     if not page:
         return ""
@@ -226,15 +227,20 @@ def main_text(page: str | None) -> str:
         if tree.tags[i] == "article" or tree.tags[i] == "main" and tree.tags[top] != "article":
             top = i
         i = tree.parents[i]
-    least = max(10.0, scores[best] / 5)
+    # A sibling stands by its own text, whatever its length: kept unless most of it is in links.
     roots = {top}
     for i in range(1, n):
-        if top and tree.parents[i] == tree.parents[top] and not tree.outside[i] and scores[i] >= least:
+        beside = top and tree.parents[i] == tree.parents[top] and tree.outside[i] != 1
+        if beside and sizes[i] and 2 * links[i] < sizes[i]:
             roots.add(i)
+    # Text that stands directly in the parent, between the siblings, is a sibling too.
+    around = tree.parents[top] if top else -1
     inside = [False] * n
     for i in range(n):
         inside[i] = i in roots or i > 0 and inside[tree.parents[i]]
-    return "\n".join(text for owner, text, _ in kept if inside[owner])
+    return "\n".join(
+        text for owner, text, linked in kept if inside[owner] or owner == around and 2 * linked < len(text)
+    )
 
 
 def extract_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
