@@ -144,6 +144,20 @@ def test_rounds_raise_the_likelihood():
     assert hmm._summed(model, raw, how)[2].sum() == pytest.approx(sum(s.size for s in sequences), rel=1e-5)
 
 
+def test_every_round_learns_from_all_rows(spark):
+    """Also where a third of 4,500 texts are copies of one: the model is that of plain rounds over all of them."""
+    how = hmm.Settings(states=2, classes=6, rounds=3)
+    rng = np.random.default_rng(7)
+    same = np.array([0, 1, 0, 1, 5], np.int16).tobytes()
+    raw = [same if i % 3 == 0 else np.append(rng.integers(0, 5, 6), 5).astype(np.int16).tobytes() for i in range(4500)]
+    prior = np.full(6, 1 / 6)
+    want = hmm._first_model(prior, how)
+    for _ in range(how.rounds):
+        want = hmm.improved(hmm._summed(want, raw, how), prior)
+    got = hmm.train(spark.createDataFrame([(bytearray(r),) for r in raw], "classes binary"), prior, how)
+    assert got.emit == pytest.approx(want.emit, rel=1e-3) and got.move == pytest.approx(want.move, rel=1e-3)
+
+
 def test_text_scores(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("The of a word1 x\u00e9 longerword".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)]

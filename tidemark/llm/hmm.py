@@ -19,16 +19,14 @@ class Settings:
     """``states`` hidden states emit one of ``classes`` word classes; the last class is the end of a text.
 
     A word's class follows from its bytes: short words by their whole, longer ones by their last three bytes. Training
-    starts from ``first_rounds`` rounds over about ``first_docs`` documents, picked by a hash of their text, and then
-    makes ``rounds`` Baum-Welch rounds over all training tokens, in segments of ``segment`` tokens. ``known`` is the
-    most words whose counts go to every task; counts of all others are joined.
+    starts from the shares of the classes among all training tokens and makes ``rounds`` Baum-Welch rounds over all of
+    them, in segments of ``segment`` tokens. ``known`` is the most words whose counts go to every task; counts of all
+    others are joined.
     """
 
     states: int = 8
     classes: int = 2048
-    rounds: int = 2
-    first_docs: int = 1500
-    first_rounds: int = 12
+    rounds: int = 14
     segment: int = 128
     known: int = 1 << 18
     seed: int = 11
@@ -234,14 +232,9 @@ def _summed(model: Model, sequences: list[bytes], how: Settings):
 
 
 def train(sequences: DataFrame, prior: np.ndarray, how: Settings) -> Model:
-    """Baum-Welch over the column ``classes`` of all rows; only sums of the model's own size reach the driver."""
-    share = max(1, sequences.count() // how.first_docs)
-    first = sequences.where(F.pmod(F.xxhash64("classes"), F.lit(share)) == 0).limit(2 * how.first_docs)
-    some = [bytes(r[0]) for r in first.collect()]
+    """Baum-Welch over the column ``classes`` of all rows in every round; only sums of the model's own size reach the driver."""
     model = _first_model(prior, how)
-    for _ in range(how.first_rounds if some else 0):
-        model = improved(_summed(model, some, how), prior)
-    for _ in range(how.rounds if some else 0):
+    for _ in range(0 if sequences.isEmpty() else how.rounds):
         model = improved(_round(sequences, model, how), prior)
     return model
 
