@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import stage_in
+from tidemark.session import shared_folder, stage_in
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -29,6 +29,23 @@ def stage(frame: DataFrame, purpose: str) -> DataFrame:
     return stage_in(frame.sparkSession, purpose)(frame)
 
 
+def store(frame: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As ``stage``, with the folder, for tables that ``remove`` takes away once what was made of them is stored."""
+    spark = frame.sparkSession
+    reach_workers(spark)
+    path = shared_folder(spark, purpose)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more, by the file system that holds them."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def free_name(frame: DataFrame, name: str) -> str:
     """``name``, or the first of ``name_1``, ``name_2``, ... that is no column of the frame."""
     taken = {c.lower() for c in frame.columns}

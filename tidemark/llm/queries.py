@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hmm, html, licenses, pieces, quality, simhash, topk, urls, warc, winnow
+from tidemark.llm import clusters, hmm, html, licenses, packing, pieces, quality, simhash, topk, urls, warc, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    """Where this machine keeps the public word tokenizer; TIDEMARK_WORD_TOKENIZER names another file."""
+    if path := os.environ.get("TIDEMARK_WORD_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -155,3 +164,49 @@ FROM o
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 64-bit fingerprint and the least id reachable over at most 2 differing bits."""
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's cluster after ten rounds, with the distances."""
+    return clusters.clustered(read(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(how: clusters.Settings) -> str:
+    """The rounds one after the other, as rows of (vector, component)."""
+    away = "sum((x.x - c.x) * (x.x - c.x))"
+    blocks = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding,
+    lambda x: CAST(floor({how.factor} * CAST(x AS DOUBLE)) AS BIGINT)) AS v, embedding AS e FROM embeddings
+    WHERE len(embedding) = {how.size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "x AS MATERIALIZED (SELECT r, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS x FROM k)",
+        f"""c0 AS MATERIALIZED (SELECT j, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS x FROM
+    (SELECT v, row_number() OVER (ORDER BY sha256(concat('{how.seed}:', coalesce(CAST(vec_id AS VARCHAR), 'null'))), e) - 1 AS j FROM k)
+    WHERE j < {how.k})""",
+    ]
+    for i in range(how.rounds + 1):
+        blocks.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, arg_min(j, (a, j)) AS j, min(a) AS a FROM
+    (SELECT r, j, {away} AS a FROM x JOIN c{i} c USING (d) GROUP BY r, j) GROUP BY r)"""
+        )
+        if i < how.rounds:
+            blocks.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT j, d, CASE WHEN n IS NULL THEN x ELSE (s - (((s % n) + n) % n)) // n END AS x
+    FROM c{i} LEFT JOIN (SELECT j, d, sum(x.x) AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY j, d) USING (j, d))"""
+            )
+    n = how.rounds
+    return f"""WITH {','.join(blocks)},
+h AS (SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS h FROM c{n} GROUP BY j),
+t AS (SELECT j, sum(a) AS t FROM a{n} GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(a AS BIGINT) AS distance, CAST(t AS BIGINT) AS cluster_inertia,
+    CAST((SELECT sum(a) FROM a{n}) AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{n} JOIN k USING (r) JOIN h USING (j) JOIN t USING (j)"""
+
+
+SQL["op12_clusters"] = _cluster_sql(clusters.Settings())
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 2,048 tokens and its place there."""
+    return packing.packed(read(spark, sf_dir, "documents"), word_tokenizer())
