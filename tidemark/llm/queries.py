@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import clusters, hmm, html, licenses, packing, pieces, quality, simhash, topk, urls, warc, winnow
+from tidemark.llm import clusters, hmm, html, licenses, packing, phrases, pieces, quality, simhash, topk, urls, warc, winnow
 from tidemark.llm.frames import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,35 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two and three words."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+SQL["op11_collocations"] = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, w[i:i + k - 1] AS ph, k, count(*) AS a FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND a >= 10),
+cuts AS (SELECT c.lang, c.ph, c.k, c.a, x.a AS l, y.a AS r, j,
+    CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.a AS HUGEINT) * y.a) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:j]
+    JOIN f y ON y.lang = c.lang AND y.ph = c.ph[j + 1:]),
+worst AS (SELECT lang, ph, a, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score FROM cuts GROUP BY lang, ph, a),
+longer AS (SELECT lang, ph, max(a) AS m FROM (SELECT lang, ph[1:2] AS ph, a FROM c WHERE k = 3 UNION ALL SELECT lang, ph[2:3], a FROM c WHERE k = 3)
+    GROUP BY lang, ph),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM worst LEFT JOIN longer USING (lang, ph)
+    WHERE m IS NULL OR 100 * m < 50 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector's cluster after ten rounds, with the distances."""
