@@ -83,7 +83,9 @@ class BatchOptions:
     the time points that the end of a long interval adds before the batch start.
     ``drop_dangling_tail`` leaves out a last line that alone opens a batch.
     ``remove_noise`` drops events that have a coordinate at the same vessel and
-    time.
+    time; where distances from the coast are known, events beyond ``noise_threshold_m`` go by chance instead, the farther
+    the likelier. ``spelling`` of point events is ``terms`` (``happensAt(name(arg),time)``) or ``predicates``
+    (``HappensAt(Name_arg,time)``).
     """
 
     size: int = 50
@@ -93,14 +95,19 @@ class BatchOptions:
     stale_times: bool = True
     drop_dangling_tail: bool = False
     remove_noise: bool = False
+    noise_threshold_m: float = 10_000.0
     end_of_time: int = END_OF_TIME
     bucket_seconds: int = 4096
     max_atoms: int = 100_000
+    spelling: str = "terms"
 
 
 @dataclass(frozen=True)
 class FileInput:
-    """Where the vessel programs read their text input from."""
+    """Where the vessel programs read their text input from.
+
+    With ``coastline_path`` noise is removed by the distance of a vessel's position from the coast.
+    """
 
     points_path: str
     intervals_path: str

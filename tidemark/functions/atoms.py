@@ -47,15 +47,14 @@ def capitalised(name) -> Column:
     return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
 
 
+def head_mln(name, args) -> Column:
+    """``HappensAt(Name_arg_arg,``: all of an atom in the spelling with upper-case predicates but its time."""
+    return F.concat(F.lit("HappensAt("), F.concat_ws("_", capitalised(name), _col(args)), F.lit(","))
+
+
 def render_mln(name, args, time) -> Column:
     """``HappensAt(Name_arg_arg,time)``, the spelling with upper-case predicates."""
-    return F.concat(
-        F.lit("HappensAt("),
-        F.concat_ws("_", capitalised(name), _col(args)),
-        F.lit(","),
-        _col(time).cast("string"),
-        F.lit(")"),
-    )
+    return F.concat(head_mln(name, args), _col(time).cast("string"), F.lit(")"))
 
 
 def point_args(lle="lle", vessel="vessel", area="area") -> Column:

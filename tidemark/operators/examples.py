@@ -74,5 +74,7 @@ def merge_all(
     first = examples.groupBy("dataset").agg(F.min_by("time", F.struct(*order)).alias("time"))
     atoms = example_atoms(examples, ["dataset", *order])
     slices = [*ordering.int_slices(order[0], 12), *map(F.col, order)]
-    merged = nest_examples(atoms, ["dataset"], [*order, "place"], max_atoms, slices)
+    held = F.sum(F.coalesce(F.array_size(ANNOTATION), F.lit(0)) + F.coalesce(F.array_size(NARRATIVE), F.lit(0)))
+    counts = examples.groupBy("dataset").agg(held.alias("n"))
+    merged = nest_examples(atoms, ["dataset"], [*order, "place"], max_atoms, slices, counts=counts)
     return merged.join(first, "dataset")

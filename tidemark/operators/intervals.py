@@ -7,56 +7,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A batch longer than this many buckets is listed under coarse buckets instead.
-_LONG_BATCH = 64
-_COARSE = 1024
+from tidemark.operators import ordering
+
 _BATCH_COLUMNS = ("batch_id", "batch_start", "batch_end")
+_TIME_RUN = 4096
 
 
 def _bucket(x: Column, width: int) -> Column:
     return F.floor(x / F.lit(width))
 
 
-def batch_calendar(bounds: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
-    """Batches listed under every time bucket they touch, for range lookups.
+def batch_directory(bounds: DataFrame, buckets: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
+    """For each time bucket the batches it meets, by start: (bucket, batches).
 
-    Long batches (the stretch before the first event, the open end, gaps) are
-    listed under coarse buckets, so the table stays within a small multiple of
-    the number of batches whatever the time range.
+    Batches follow each other without gaps, so a bucket meets those that start in it and the one that is open when it
+    begins. Rows are the buckets in which batches start and those of ``buckets``; the open batch is carried forward over
+    these rows, so gaps and the open end cost nothing however long they are. At most ``bucket_seconds`` batches start in one.
     """
-    long = F.col("batch_end") - F.col("batch_start") > _LONG_BATCH * bucket_seconds
-    width = F.when(long, F.lit(bucket_seconds * _COARSE)).otherwise(F.lit(bucket_seconds))
-    touched = F.sequence(
-        F.floor(F.col("batch_start") / width), F.floor((F.col("batch_end") - 1) / width)
-    )
-    return bounds.select(
-        long.cast("int").alias("scale"),
-        F.explode(touched).alias("bucket"),
-        "batch_id",
-        "batch_start",
-        "batch_end",
+    started = F.struct(*[F.col(c) for c in ("batch_start", "batch_end", "batch_id")])
+    own = bounds.groupBy(_bucket(F.col("batch_start"), bucket_seconds).alias("bucket")).agg(
+        F.sort_array(F.collect_list(started)).alias("own")
     )
+    every = own.unionByName(buckets.select("bucket").distinct(), allowMissingColumns=True)
+    every = every.groupBy("bucket").agg(F.max("own").alias("own"))
+    carried = ordering.carry_forward(every, F.element_at("own", -1), "bucket", name="open")
+    known = F.filter(F.concat(F.array("open"), F.coalesce("own", F.array())), lambda b: b.isNotNull())
+    return carried.select("bucket", known.alias("batches"))
 
 
-def locate(
-    df: DataFrame, x: Column, calendar: DataFrame, bucket_seconds: int, names: Sequence[str]
-) -> DataFrame:
-    """Adds the batch (id, start, end under ``names``) whose [start, end) holds x."""
-    keys = F.array(
-        F.struct(F.lit(0).alias("scale"), _bucket(x, bucket_seconds).alias("bucket")),
-        F.struct(F.lit(1).alias("scale"), _bucket(x, bucket_seconds * _COARSE).alias("bucket")),
-    )
-    probe = df.withColumn("_x", x).withColumn("_key", F.explode(keys))
-    here = calendar.select(
-        "scale", "bucket", *[F.col(c).alias(n) for c, n in zip(_BATCH_COLUMNS, names)]
-    )
-    inside = (
-        (F.col("_key.scale") == F.col("scale"))
-        & (F.col("_key.bucket") == F.col("bucket"))
-        & (F.col(names[1]) <= F.col("_x"))
-        & (F.col("_x") < F.col(names[2]))
+def _newest(batches: Column, at: Column) -> Column:
+    """The last of the listed batches that does not start behind a time."""
+    return F.try_element_at(F.filter(batches, lambda b: b["batch_start"] <= at), F.lit(-1))
+
+
+def locate_ends(intervals: DataFrame, bounds: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
+    """Adds ``first`` and ``last``: the last batches that start not later than ``stime`` and ``etime``, null before all.
+
+    Both ends are looked up with one equality key each in a table of about one row per time bucket that the intervals
+    touch; the intervals themselves are moved once at most, and a bucket with many of them can be split.
+    """
+    ends = {"first": "stime", "last": "etime"}
+    touched = intervals.select(F.explode(F.array(*[_bucket(F.col(c), bucket_seconds) for c in ends.values()])).alias("bucket"))
+    directory = batch_directory(bounds, touched, bucket_seconds)
+    out = intervals
+    for name, column in ends.items():
+        key, listed = f"_{name}_bucket", f"_{name}_batches"
+        there = directory.select(F.col("bucket").alias(key), F.col("batches").alias(listed))
+        out = out.withColumn(key, _bucket(F.col(column), bucket_seconds)).join(there, key, "left")
+        out = out.withColumn(name, _newest(F.col(listed), F.col(column))).drop(key, listed)
+    return out
+
+
+def overlaps(located: DataFrame, bounds: DataFrame, closed: bool = False) -> DataFrame:
+    """One row per interval with located ends and batch it overlaps, by batch-id range: no comparison with every batch.
+
+    With ``closed`` an interval that only touches a batch boundary counts.
+    """
+    lowest = bounds.agg(F.min("batch_id")).scalar()
+    first, last = F.col("first"), F.col("last")
+    begin = F.coalesce(first["batch_id"], lowest)
+    if closed:
+        begin = begin - F.when((F.col("stime") == first["batch_start"]) & (begin > lowest), 1).otherwise(0)
+        reaches = first.isNull() | (F.col("stime") <= first["batch_end"])
+        end = last["batch_id"]
+    else:
+        reaches = first.isNull() | (F.col("stime") < first["batch_end"])
+        end = last["batch_id"] - F.when(F.col("etime") == last["batch_start"], 1).otherwise(0)
+    return (
+        located.where(reaches)
+        .withColumns({"_begin": begin, "_end": end})
+        .where(F.col("_begin") <= F.col("_end"))
+        .withColumn("batch_id", F.explode(F.sequence("_begin", "_end")))
+        .drop("first", "last", "_begin", "_end")
     )
-    return probe.join(here, inside).drop("_x", "_key", "scale", "bucket")
 
 
 def overlap_join(
@@ -65,36 +88,26 @@ def overlap_join(
     closed: bool = False,
     bucket_seconds: int = 4096,
 ) -> DataFrame:
-    """One row per interval and batch it overlaps, by batch-id range.
-
-    Both ends of an interval are looked up once, and the batches between them
-    are listed: no comparison of every interval with every batch. With
-    ``closed`` an interval that only touches a batch boundary counts.
-    """
-    calendar = batch_calendar(bounds, bucket_seconds)
-    touch = 1 if closed else 0
-    # Whatever reaches beyond the last batch ends with it.
-    reach = F.least(F.col("etime") + touch, bounds.agg(F.max("batch_end")).scalar()) - 1
-    first = F.greatest(F.col("stime") - touch, F.lit(0))
-    located = locate(intervals, first, calendar, bucket_seconds, ("_b1", "_s1", "_e1"))
-    located = locate(located, reach, calendar, bucket_seconds, ("_b2", "_s2", "_e2"))
-    return (
-        located.where(F.col("_b1") <= F.col("_b2"))
-        .withColumn("batch_id", F.explode(F.sequence("_b1", "_b2")))
-        .drop("_b1", "_s1", "_e1", "_b2", "_s2", "_e2")
-    )
+    """One row per interval and batch it overlaps. Both ends are looked up once, the batches between them are listed."""
+    return overlaps(locate_ends(intervals, bounds, bucket_seconds), bounds, closed)
 
 
-def interval_edges(intervals: DataFrame, bounds: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
-    """Start and end of every interval with the batch each of them falls into."""
+def edges_of(located: DataFrame) -> DataFrame:
+    """Start and end of every interval with located ends, with the batch each of them falls into."""
     edge = F.explode(
         F.array(
-            F.struct(F.lit("start").alias("edge"), F.col("stime").alias("at")),
-            F.struct(F.lit("end").alias("edge"), F.col("etime").alias("at")),
+            F.struct(F.lit("start").alias("edge"), F.col("stime").alias("at"), F.col("first").alias("batch")),
+            F.struct(F.lit("end").alias("edge"), F.col("etime").alias("at"), F.col("last").alias("batch")),
         )
     )
-    edges = intervals.withColumn("_edge", edge).select(*intervals.columns, "_edge.*")
-    return locate(edges, F.col("at"), batch_calendar(bounds, bucket_seconds), bucket_seconds, _BATCH_COLUMNS)
+    others = [c for c in located.columns if c not in ("first", "last")]
+    edges = located.withColumn("_edge", edge).where(F.col("_edge.at") < F.col("_edge.batch.batch_end"))
+    return edges.select(*others, "_edge.edge", "_edge.at", *[F.col(f"_edge.batch.{c}").alias(c) for c in _BATCH_COLUMNS])
+
+
+def interval_edges(intervals: DataFrame, bounds: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
+    """Start and end of every interval with the batch each of them falls into."""
+    return edges_of(locate_ends(intervals, bounds, bucket_seconds))
 
 
 def start_edges(edges: DataFrame, bounds: DataFrame, closed: bool = False) -> DataFrame:
@@ -143,6 +156,26 @@ def end_edges(edges: DataFrame, inner_last: DataFrame, closed: bool = False) ->
     )
 
 
+def inner_times(times: Column, stime: Column, etime: Column) -> Column:
+    """Those of the listed times that lie strictly between two others."""
+    return F.filter(times, lambda t: (stime < t) & (t < etime))
+
+
+def contained_times(pairs: DataFrame, times: DataFrame) -> DataFrame:
+    """One row per (batch, interval) pair and time point of the batch that the interval strictly contains.
+
+    ``pairs`` has batch_id, stime and etime, ``times`` batch_id, batch_start and time. A batch's time points are listed in
+    runs of one time slice; a pair meets the runs it reaches into, two numbers of each are compared, and the contained
+    times come out of the list. Columns of ``pairs`` with batch_start and ``time``.
+    """
+    runs = times.groupBy("batch_id", "batch_start", _bucket(F.col("time"), _TIME_RUN).alias("_run")).agg(
+        F.sort_array(F.collect_list("time")).alias("_times"), F.min("time").alias("_low"), F.max("time").alias("_high")
+    )
+    meets = (F.col("stime") < F.col("_high")) & (F.col("_low") < F.col("etime"))
+    inside = F.explode(inner_times(F.col("_times"), F.col("stime"), F.col("etime")))
+    return pairs.join(runs, "batch_id").where(meets).withColumn("time", inside).drop("_run", "_times", "_low", "_high")
+
+
 def contain_join(
     points: DataFrame, intervals: DataFrame, bucket_seconds: int = 4096
 ) -> DataFrame:
@@ -153,14 +186,12 @@ def contain_join(
     Intervals are listed only between the first and the last point, so one with
     an open end is not listed up to the end of time.
     """
-    within = points.agg(F.min("time").alias("_low"), F.max("time").alias("_high"))
-    first = F.greatest(F.col("stime") + 1, F.col("_low"))
-    last = F.least(F.col("etime") - 1, F.col("_high"))
-    met = intervals.join(F.broadcast(within), (F.col("stime") < F.col("_high")) & (F.col("etime") > F.col("_low")))
-    listed = (
-        met.where((F.col("stime") + 1 < F.col("etime")) & (first <= last))
-        .withColumn("_bucket", F.explode(F.sequence(_bucket(first, bucket_seconds), _bucket(last, bucket_seconds))))
-        .drop("_low", "_high")
+    within = points.agg(F.struct(F.min("time").alias("low"), F.max("time").alias("high"))).scalar()
+    first = F.greatest(F.col("stime") + 1, within["low"])
+    last = F.least(F.col("etime") - 1, within["high"])
+    met = (F.col("stime") < within["high"]) & (F.col("etime") > within["low"]) & (F.col("stime") + 1 < F.col("etime"))
+    listed = intervals.where(met & (first <= last)).withColumn(
+        "_bucket", F.explode(F.sequence(_bucket(first, bucket_seconds), _bucket(last, bucket_seconds)))
     )
     placed = points.withColumn("_bucket", _bucket(F.col("time"), bucket_seconds))
     return (

@@ -34,15 +34,57 @@ def drop_located_intervals(
     return drop_located(atoms, located, first_vessel, F.col("time"))
 
 
+def _draw(vessel: Column, time: Column, event: Column, seq: Column, seed: int) -> Column:
+    """A number in [0, 1) made from the event itself, so a repeated task takes the same decision."""
+    return uniform(vessel, time, event, seq, seed=seed)
+
+
+def _odds(threshold_m: float) -> Column:
+    return F.lit(1.0) - F.try_divide(F.lit(threshold_m), F.col("dist_m"))
+
+
 def drop_far_from_coast(
-    points: DataFrame, distances: DataFrame, threshold_m: float = 10_000.0, seed: int = 0
+    points: DataFrame, distances: DataFrame, threshold_m: float = 10_000.0, seed: int = 0, event: str = "lle"
 ) -> DataFrame:
     """Drops a located event with probability ``1 - threshold / distance``.
 
     ``distances`` is (vessel, time, dist_m), one row per key. The draw is a hash
     of the event, so a repeated task takes the same decision.
     """
-    drawn = uniform(F.col("vessel"), F.col("time"), F.col("lle"), F.col("seq"), seed=seed)
-    odds = F.lit(1.0) - F.try_divide(F.lit(threshold_m), F.col("dist_m"))
-    dropped = F.coalesce(drawn <= odds, F.lit(False))
+    drawn = _draw(F.col("vessel"), F.col("time"), F.col(event), F.col("seq"), seed)
+    dropped = F.coalesce(drawn <= _odds(threshold_m), F.lit(False))
     return points.join(distances, ["vessel", "time"], "left").where(~dropped).select(*points.columns)
+
+
+def distance_odds(distances: DataFrame, threshold_m: float = 10_000.0) -> DataFrame:
+    """(vessel, time, odds): the chance that an event there is dropped, where there is any."""
+    return distances.select("vessel", "time", _odds(threshold_m).alias("odds")).where(F.col("odds") >= 0)
+
+
+def certain_odds(located: DataFrame) -> DataFrame:
+    """(vessel, time, odds) for located keys whose events are always dropped."""
+    return located.select("vessel", "time", F.lit(1.0).alias("odds"))
+
+
+def noisy_times(odds: DataFrame, times: DataFrame) -> DataFrame:
+    """(batch_id, vessel, noisy): the time points of a batch at which a vessel's events may go, with the odds.
+
+    Only time points of batches are kept, so a list is at most as long as that of its batch.
+    """
+    at = times.select("batch_id", "time")
+    listed = F.collect_list(F.struct("time", "odds")).alias("noisy")
+    return odds.join(at, "time").groupBy("batch_id", "vessel").agg(listed)
+
+
+def mark_noisy(pairs: DataFrame, noisy: DataFrame, point_events: tuple[str, ...]) -> DataFrame:
+    """Adds ``noisy`` to the (batch, interval) pairs of point-like events, by their first vessel; null for all others."""
+    first = F.when(F.col("hle").isin(*point_events), F.get("vessels", F.lit(0)))
+    keyed = noisy.withColumnRenamed("vessel", "_vessel")
+    return pairs.withColumn("_vessel", first).join(keyed, ["batch_id", "_vessel"], "left").drop("_vessel")
+
+
+def drop_noisy(atoms: DataFrame, seed: int = 0) -> DataFrame:
+    """Atoms of marked pairs at their ``time``, less those that their draw lets go."""
+    drawn = _draw(F.get("vessels", F.lit(0)), F.col("time"), F.col("hle"), F.col("seq"), seed)
+    gone = F.exists("noisy", lambda n: (n["time"] == F.col("time")) & (drawn <= n["odds"]))
+    return atoms.where(~F.coalesce(gone, F.lit(False)))

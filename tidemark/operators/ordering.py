@@ -148,3 +148,22 @@ def _carry_over(borders: DataFrame, by: Sequence[str], levels: Sequence[str], pi
     return here.join(above, parents).select(
         *by, *levels, F.coalesce("_carried", "_above").alias("_carried")
     )
+
+
+def carry_forward(df: DataFrame, value: Column, column: str, shift: int = 12, name: str = "carried") -> DataFrame:
+    """Adds the last non-null value before each row, in the order of an integer ``column`` without repeated values.
+
+    Values are carried inside slices of 2 ** ``shift`` neighbours and from slice to slice.
+    """
+    rows = df.select("*", F.shiftright(column, shift).alias("_slice"), value.alias("_value"))
+    before = Window.partitionBy("_slice").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(column).alias("at"), F.col("_value").alias("v"))))
+    slices = rows.groupBy("_slice").agg(newest["v"].alias("_last"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("_slice", F.last("_last", True).over(earlier).alias("_above"))
+    return (
+        rows.withColumn("_near", F.last("_value", True).over(before))
+        .join(slices, "_slice")
+        .withColumn(name, F.coalesce("_near", "_above"))
+        .drop("_slice", "_value", "_near", "_above")
+    )

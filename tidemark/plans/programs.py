@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FRAME_STEP, FileInput
 from tidemark.functions.text import epoch_seconds
-from tidemark.operators import ordering, pairing, series as S, statements as ST, wide as W
+from tidemark.operators import coast, ordering, pairing, series as S, statements as ST, wide as W
 from tidemark.plans import vessel_batches as V
 from tidemark.session import stage_in
 from tidemark.sinks import writers
@@ -29,8 +29,14 @@ def vessel_batches(spark: SparkSession, files: FileInput) -> V.Batches:
     intervals = stage(
         vessels.interval_events(vessels.read_fields(spark, files.intervals_path), names)
     )
-    coords = vessels.positions(lines, files.layout) if options.remove_noise else None
-    return V.build_batches(points, intervals, options, coords, stage)
+    coords = distances = None
+    if files.coastline_path:
+        positions = stage(vessels.positions(lines, files.layout))
+        vertices = stage(vessels.coastline_vertices(spark, files.coastline_path))
+        distances = coast.coast_distance(positions, coast.coast_segments(vertices))
+    elif options.remove_noise:
+        coords = vessels.positions(lines, files.layout)
+    return V.build_batches(points, intervals, options, coords, stage, distances=distances)
 
 
 def vessel_examples(spark: SparkSession, files: FileInput) -> DataFrame:

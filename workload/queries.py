@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -255,13 +256,9 @@ def _(spark, sf):
     return batching.batch_by_rows(events, 10, ["event_id"], ordering.arrival_slices("event_id"))
 
 
-def _batches(spark, sf):
-    return V.build_batches(
-        T.points(spark, sf),
-        T.intervals(spark, sf),
-        OPTIONS,
-        stage=stage_in(spark),
-    )
+def _batches(spark, sf, options=OPTIONS, **more):
+    stage = stage_in(spark)
+    return V.build_batches(T.points(spark, sf), stage(T.intervals(spark, sf)), options, stage=stage, **more)
 
 
 @query(
@@ -323,7 +320,11 @@ def _(spark, sf):
 
 
 def _bounds(spark, sf):
-    return batching.batch_bounds(_times(spark, sf))
+    return stage_in(spark)(batching.batch_bounds(_times(spark, sf)))
+
+
+def _stored_intervals(spark, sf):
+    return stage_in(spark)(T.intervals(spark, sf))
 
 
 @query(
@@ -332,7 +333,7 @@ def _bounds(spark, sf):
     "SELECT batch_id, seq, hle, stime, etime FROM crossed",
 )
 def _(spark, sf):
-    return I.overlap_join(T.intervals(spark, sf), _bounds(spark, sf)).select(
+    return I.overlap_join(_stored_intervals(spark, sf), _bounds(spark, sf)).select(
         "batch_id", "seq", "hle", "stime", "etime"
     )
 
@@ -344,7 +345,7 @@ def _(spark, sf):
     " ON i.stime <= b.batch_end AND i.etime >= b.batch_start",
 )
 def _(spark, sf):
-    return I.overlap_join(T.intervals(spark, sf), _bounds(spark, sf), closed=True).select(
+    return I.overlap_join(_stored_intervals(spark, sf), _bounds(spark, sf), closed=True).select(
         "batch_id", "seq", "hle", "stime", "etime"
     )
 
@@ -371,7 +372,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     bounds = _bounds(spark, sf)
-    found = I.overlap_join(T.intervals(spark, sf), bounds).join(
+    found = I.overlap_join(_stored_intervals(spark, sf), bounds).join(
         bounds.select("batch_id", "batch_start", "batch_end"), "batch_id"
     )
     ends = [F.col(c) for c in ("stime", "etime", "batch_start", "batch_end")]
@@ -711,6 +712,21 @@ def _(spark, sf):
     return noise.drop_far_from_coast(points, distances, threshold_m=5_000.0)
 
 
+@query(
+    "noise_interval_by_distance",
+    ["stabbed", "distances"],
+    f"""SELECT batch_id, time, seq, hle FROM (SELECT s.*, 1 - 5000.0 / nullif(d.dist_m, 0) AS odds,
+ CAST(concat('0x', substr(md5(concat_ws('|', s.v1, s.time, s.hle, s.seq, '0')), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
+ FROM stabbed s LEFT JOIN distances d ON d.vessel = s.v1 AND d.time = s.time AND s.hle IN ({_in(T.POINTS)}))
+ WHERE NOT coalesce(draw <= odds, false)""",
+)
+def _(spark, sf):
+    segments = coast.coast_segments(T.coastline(spark, sf))
+    distances = coast.coast_distance(T.coords(spark, sf), segments)
+    batches = _batches(spark, sf, replace(OPTIONS, noise_threshold_m=5_000.0), distances=distances)
+    return batches.inside.where("side = 0").select("batch_id", "time", "seq", "hle")
+
+
 # --------------------------------------------------------------------------
 # Recording statements
 # --------------------------------------------------------------------------
