@@ -135,3 +135,34 @@ def test_slices_follow_the_shared_prefix(spark):
     assert [r["number"] for r in numbered.orderBy("file").collect()] == list(range(1, 501))
     assert names.select(slices[-1]).distinct().count() == 500
     assert ordering.number_rows(names.limit(0), ["file"], ordering.spread_slices(names.limit(0), "file", 2)).count() == 0
+
+
+def test_few_candidates_far_from_a_long_coast(spark):
+    from math import cos, pi, sin
+
+    n = 10_000
+    rough = [1 + 0.03 * ((i * 37) % 11) for i in range(n + 1)]
+    ring = [(0, i, 20 * r * cos(2 * pi * i / n), 12 * r * sin(2 * pi * i / n)) for i, r in enumerate(rough)]
+    segments = coast.coast_segments(spark.createDataFrame(ring, "ring long, pos long, x double, y double"))
+    places = [("v", i, -60.0 + 7 * i, 35.0 - 5.3 * i) for i in range(14)] + [("v", 99, 23.0, 0.02), ("w", 5, None, 3.0)]
+    positions = spark.createDataFrame(places, "vessel string, time long, lon double, lat double")
+    counts = coast.candidate_segments(positions, segments, cell=0.05).groupBy("cx", "cy").count().collect()
+    assert len(counts) == 15 and max(r["count"] for r in counts) < 100
+    listed = [tuple(r) for r in segments.select("x1", "y1", "x2", "y2").collect()]
+
+    def plain(lon, lat):
+        best = None
+        for x1, y1, x2, y2 in listed:
+            dx, dy = x2 - x1, y2 - y1
+            u = max(0.0, min(1.0, ((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy)))
+            near = ((lon - x1 - u * dx) ** 2 + (lat - y1 - u * dy) ** 2, y1 + u * dy, x1 + u * dx)
+            best = near if best is None or near < best else best
+        return best
+
+    got = {r["time"]: r["dist_m"] for r in coast.coast_distance(positions, segments).collect() if r["vessel"] == "v"}
+    from math import asin, radians, sqrt
+
+    for _, time, lon, lat in places[:-1]:
+        _, ny, nx = plain(lon, lat)
+        h = sin(radians(ny - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(ny)) * sin(radians(nx - lon) / 2) ** 2
+        assert abs(got[time] - 2 * 6372.8 * asin(sqrt(h)) * 1000) < 1e-3

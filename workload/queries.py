@@ -695,6 +695,14 @@ def _(spark, sf):
     )
 
 
+@query("coast_distance_fine", ["coords", "segments"], SQL["coast_distance"][SQL["coast_distance"].rindex("SELECT vessel, time, round(1000") :])
+def _(spark, sf):
+    segments = coast.coast_segments(T.coastline(spark, sf))
+    return coast.coast_distance(T.coords(spark, sf), segments, cell=0.01).select(
+        "vessel", "time", F.round("dist_m", 3).alias("dist_m")
+    )
+
+
 define("distances", ["coords", "segments"], SQL["coast_distance"][SQL["coast_distance"].rindex("SELECT vessel, time, round(1000") :])
 
 
