@@ -75,6 +75,26 @@ def test_vessel_program(spark, vessel_files, tmp_path):
     assert set(documents) == {10, 11, 12, 15, 16, 20}
 
 
+def test_one_ring_on_one_line_is_read_by_several_tasks(spark, tmp_path):
+    n = 60_000
+    ring = [(i / 1000, -i / 3000) for i in range(n)]
+    (tmp_path / "coast.txt").write_text("POLYGON ((" + ", ".join(f"{x} {y}" for x, y in ring) + "), (1 1, 2 2))\n")
+    (tmp_path / "more.txt").write_text("POLYGON ((7 7, 8 8))\nPOLYGON ((9 9, 10 10))\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        path = str(tmp_path)
+        assert spark.read.option("lineSep", ",").text(path).rdd.getNumPartitions() > 4
+        rows = vessels.coastline_vertices(spark, path).orderBy("ring", "pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rings = {}
+    for r in rows:
+        rings.setdefault(r["ring"], []).append((r["pos"], r["x"], r["y"]))
+    by_size = sorted(rings.values(), key=lambda v: (-len(v), v))
+    assert [(x, y) for _, x, y in by_size[0]] == ring and [p for p, _, _ in by_size[0]] == list(range(n))
+    assert [[v[1] for v in ring] for ring in by_size[1:]] == [[1.0, 2.0], [7.0, 8.0], [9.0, 10.0]]
+
+
 def test_coastline_text(spark, tmp_path):
     (tmp_path / "coast.txt").write_text("MULTIPOLYGON (((0 0, 1 0.5, 1e0 -2)), ((5 5, 6 6)))\n")
     rows = vessels.coastline_vertices(spark, str(tmp_path / "coast.txt")).orderBy("ring", "pos").collect()
@@ -245,3 +265,29 @@ def test_row_stream(spark, tmp_path):
     stream.finish()
     got = spark.read.parquet(str(tmp_path / "out" / "batches")).orderBy("n").collect()
     assert [r["batch_id"] for r in got] == [i // 4 for i in range(11)]
+
+
+def test_an_epoch_reads_no_closed_and_no_future_intervals(spark, tmp_path):
+    wide = TimeBatchStream._SLICE
+    rows = [(0, "stopped", ["v1"], "true", 5, 9), (1, "stopped", ["v1"], "true", 3 * wide, 3 * wide + 7), (2, "stopped", ["v1"], "true", 1, 90 * wide)]
+    rows += [(3, "stopped", ["v2"], "true", 50 * wide, 51 * wide), (4, "stopped", ["v2"], "true", None, 7), (5, "stopped", ["v2"], "true", 8, 2)]
+    intervals = spark.createDataFrame(rows, "seq long, hle string, vessels array<string>, value string, stime long, etime long")
+    stream = TimeBatchStream(spark, intervals, BatchOptions(size=2), f"{tmp_path}/state", f"{tmp_path}/out")
+    assert {r["seq"] for r in stream.met_intervals(0, 9).collect()} == {0, 2, 5}
+    # Folders of what is over by then, or starts later, are spoiled: reading them would fail.
+    for folder in ("first=0/length=0", "first=50/length=1"):
+        for file in (tmp_path / "state" / "intervals" / folder).glob("*.parquet"):
+            file.write_bytes(b"not a table")
+    assert {r["seq"] for r in stream.met_intervals(2 * wide, 4 * wide).collect()} == {1, 2}
+    with pytest.raises(Exception):
+        stream.met_intervals(0, None).collect()
+
+
+def test_counts_and_rejects_of_one_read(spark, vessel_files, tmp_path):
+    counts = programs.write_vessel_examples(spark, vessel_files, str(tmp_path / "out"), str(tmp_path / "rejects"))
+    assert counts == {"points": {"kept": 7, "rejected": 2}, "intervals": {"kept": 2, "rejected": 0}}
+    read = programs.read_vessels(spark, vessel_files)
+    assert read.point_rejects.count() == 2 and read.points.count() == 7
+    assert spark.read.parquet(str(tmp_path / "rejects" / "points")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "rejects" / "early")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import FRAME_STEP, FileInput
 from tidemark.functions.text import epoch_seconds
-from tidemark.operators import coast, ordering, pairing, series as S, statements as ST, wide as W
+from tidemark.operators import batching, coast, ordering, pairing, series as S, statements as ST, wide as W
 from tidemark.plans import vessel_batches as V
 from tidemark.session import stage_in
 from tidemark.sinks import writers
@@ -19,24 +20,52 @@ from tidemark.sources import recordings as R, tables, vessels
 _RECORDING_ORDER = ("file", "position", "place", "pair")
 
 
-def vessel_batches(spark: SparkSession, files: FileInput) -> V.Batches:
+@dataclass(frozen=True)
+class VesselInput:
+    """What was read from event and interval files, each in one pass: events, rejects, and how many of both."""
+
+    points: DataFrame
+    intervals: DataFrame
+    point_rejects: DataFrame
+    interval_rejects: DataFrame
+    counts: dict[str, dict[str, int]]
+
+
+def read_vessels(spark: SparkSession, files: FileInput) -> VesselInput:
+    """Reads the event and interval files once each. Kept rows and rejects are stored side by side and counted meanwhile."""
     options = files.batch
-    lines = vessels.read_fields(spark, files.points_path)
     stage = stage_in(spark)
-    # Arrival numbers of a scan belong to that scan: store the events once.
-    points = stage(vessels.point_events(lines, options.point_events, files.layout))
     names = (*options.point_events, *options.target_events)
-    intervals = stage(
-        vessels.interval_events(vessels.read_fields(spark, files.intervals_path), names)
+    # Arrival numbers of a scan belong to that scan: store the events once.
+    points, seen_points = vessels.observed(
+        vessels.classified_points(vessels.read_fields(spark, files.points_path), options.point_events, files.layout), "points"
+    )
+    spans, seen_spans = vessels.observed(
+        vessels.classified_intervals(vessels.read_fields(spark, files.intervals_path), names), "intervals"
     )
+    points, spans = stage(points), stage(spans)
+    return VesselInput(
+        points.where("not rejected").drop("rejected", "fields"),
+        spans.where("not rejected").drop("rejected", "fields"),
+        points.where("rejected").select("seq", "fields"),
+        spans.where("rejected").select("seq", "fields"),
+        {"points": dict(seen_points.get), "intervals": dict(seen_spans.get)},
+    )
+
+
+def vessel_batches(spark: SparkSession, files: FileInput, read: VesselInput | None = None) -> V.Batches:
+    options = files.batch
+    read = read or read_vessels(spark, files)
+    stage = stage_in(spark)
     coords = distances = None
+    lines = vessels.read_fields(spark, files.points_path)
     if files.coastline_path:
         positions = stage(vessels.positions(lines, files.layout))
         vertices = stage(vessels.coastline_vertices(spark, files.coastline_path))
         distances = coast.coast_distance(positions, coast.coast_segments(vertices))
     elif options.remove_noise:
         coords = vessels.positions(lines, files.layout)
-    return V.build_batches(points, intervals, options, coords, stage, distances=distances)
+    return V.build_batches(read.points, read.intervals, options, coords, stage, distances=distances)
 
 
 def vessel_examples(spark: SparkSession, files: FileInput) -> DataFrame:
@@ -44,6 +73,22 @@ def vessel_examples(spark: SparkSession, files: FileInput) -> DataFrame:
     return V.batch_examples(vessel_batches(spark, files), files.batch, stage_in(spark))
 
 
+def write_vessel_examples(spark: SparkSession, files: FileInput, out: str, rejects: str) -> dict[str, dict[str, int]]:
+    """Stores the examples, and beside them the lines that do not fit and the events before the first batch.
+
+    Returns the numbers of kept and rejected lines.
+    """
+    read = read_vessels(spark, files)
+    V.batch_examples(vessel_batches(spark, files, read), files.batch, stage_in(spark)).write.mode("overwrite").parquet(out)
+    for name, frame in (
+        ("points", read.point_rejects),
+        ("intervals", read.interval_rejects),
+        ("early", batching.early_points(read.points)),
+    ):
+        frame.write.mode("overwrite").parquet(f"{rejects}/{name}")
+    return read.counts
+
+
 tables.register_input("vessel_files", vessel_examples)
 
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.config import PointLayout
+from tidemark.operators import ordering
 
 
 def read_fields(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +70,46 @@ def point_rejects(
     return listed.where(_field(layout.time).try_cast("bigint").isNull() | _vessel(layout).isNull())
 
 
+def classified_points(
+    lines: DataFrame,
+    names: Sequence[str] | None = config.POINT_EVENTS,
+    layout: PointLayout = PointLayout(),
+) -> DataFrame:
+    """Point events of the listed names and their rejects in one pass: the columns of both, and ``rejected``.
+
+    ``fields`` is kept for rejects only.
+    """
+    listed = lines if names is None else lines.where(_field(layout.name).isin(*names))
+    time, vessel = _field(layout.time).try_cast("bigint"), _vessel(layout)
+    rejected = time.isNull() | vessel.isNull()
+    area = F.when(_field(layout.name).isin(*config.AREA_EVENTS), _field(layout.area))
+    return listed.select(
+        "seq",
+        _field(layout.name).alias("lle"),
+        time.alias("time"),
+        vessel.alias("vessel"),
+        area.alias("area"),
+        F.when(rejected, F.col("fields")).alias("fields"),
+        rejected.alias("rejected"),
+    )
+
+
+def classified_intervals(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Interval events and their rejects in one pass: the columns of both, and ``rejected``."""
+    parsed = lines.select("seq", *_interval_columns(False), "fields")
+    if names is not None:
+        parsed = parsed.where(F.col("hle").isin(*names))
+    rejected = ~_complete()
+    return parsed.withColumns({"fields": F.when(rejected, F.col("fields")), "rejected": rejected})
+
+
+def observed(classified: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same rows, and their numbers of kept and rejected ones as seen by the first action on them."""
+    counts = Observation(name)
+    bad = F.col("rejected")
+    return classified.observe(counts, F.count_if(~bad).alias("kept"), F.count_if(bad).alias("rejected")), counts
+
+
 def _position_columns(layout: PointLayout) -> list[Column]:
     return [
         _field(layout.time).try_cast("bigint").alias("time"),
@@ -142,25 +183,34 @@ def _interval_columns(strict: bool) -> list[Column]:
 
 
 def coastline_vertices(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices (ring, pos, x, y) of the geometry text on the first line of a file.
+    """Vertices (ring, pos, x, y) of geometry text, in the order of the text.
 
-    Records are cut at ``)``, so each ring of the geometry is one record and a
-    long geometry is read by many tasks.
+    Records are cut at commas, so a vertex is one record and even a single ring on a single line is read by many tasks:
+    each reads a byte range and owns the records that start in it. A vertex behind ``(`` starts a ring. Rings and places in
+    them are counted over the byte ranges, not in one task; what lies between two ranges is joined where neighbours are
+    (``coast_segments``).
     """
-    rings = (
-        spark.read.option("lineSep", ")")
-        .text(path)
-        .select(F.monotonically_increasing_id().alias("ring"), "value")
-    )
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-    pairs = F.regexp_extract_all("value", F.lit(rf"{number}\s+{number}"), F.lit(0))
-    return (
-        rings.select("ring", F.posexplode(pairs).alias("pos", "_pair"))
-        .withColumn("_xy", F.split("_pair", r"\s+"))
-        .select(
-            "ring",
-            F.col("pos").cast("bigint").alias("pos"),
-            F.get("_xy", F.lit(0)).try_cast("double").alias("x"),
-            F.get("_xy", F.lit(1)).try_cast("double").alias("y"),
-        )
+    records = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.posexplode(F.regexp_extract_all("value", F.lit(rf"\(?\s*{number}\s+{number}"), F.lit(0))).alias("_k", "_pair"),
+    )
+    xy = F.split(F.regexp_replace("_pair", r"^\(?\s*", ""), r"\s+")
+    vertices = records.select(
+        "_file",
+        "_block",
+        "_at",
+        "_k",
+        F.col("_pair").startswith("(").alias("_starts"),
+        F.get(xy, F.lit(0)).try_cast("double").alias("x"),
+        F.get(xy, F.lit(1)).try_cast("double").alias("y"),
     )
+    order = ["_file", "_block", "_at", "_k"]
+    slices = [F.col("_file"), F.col("_block"), F.shiftright("_at", 16)]
+    told = ordering.running_sum(vertices, F.col("_starts").cast("bigint"), order, slices, name="ring")
+    slices = [*slices[:2], F.shiftright("_at", 16)]
+    placed = ordering.running_sum(told, F.lit(1), order, slices, name="_place")
+    first = placed.groupBy("ring").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "ring").select("ring", (F.col("_place") - F.col("_first")).alias("pos"), "x", "y")

@@ -460,6 +460,48 @@ def _(spark, sf):
     return vessels.positions(_point_lines(spark, sf))
 
 
+_SPOILED_TIME = "CASE WHEN seq % 17 = 0 THEN 'oops' ELSE CAST(time AS STRING) END"
+_SPOILED_LINE = f"""CASE lle
+ WHEN 'click' THEN concat_ws('|', 'coord', {_SPOILED_TIME}, 'x', vessel, CASE WHEN seq % 19 = 0 THEN 'west' ELSE '-4.5' END, '48.25')
+ WHEN 'view' THEN concat_ws('|', 'entersArea', {_SPOILED_TIME}, concat('a', seq % 50), vessel)
+ WHEN 'signup' THEN concat_ws('|', 'proximity', time, time - 10, time, 'true', CASE WHEN seq % 23 = 0 THEN '' ELSE vessel END, concat(vessel, 'b'))
+ ELSE concat_ws('|', 'gap_start', {_SPOILED_TIME}, 'x', vessel) END"""
+define("spoiled", ["points"], f"SELECT seq, lle, {_SPOILED_LINE.replace('STRING', 'VARCHAR')} AS line FROM points")
+
+
+def _spoiled_lines(spark, sf):
+    folder = shared_folder(spark, "spoiled")
+    T.points(spark, sf).select(F.expr(_SPOILED_LINE).alias("value")).write.text(folder)
+    return vessels.read_fields(spark, folder)
+
+
+_BAD_POINT = "((lle <> 'click' AND lle <> 'signup' AND seq % 17 = 0) OR (lle = 'signup' AND seq % 23 = 0))"
+_BAD_COORD = "(lle = 'click' AND (seq % 17 = 0 OR seq % 19 = 0))"
+
+
+@query("point_rejects", ["spoiled"], f"SELECT line FROM spoiled WHERE {_BAD_POINT}")
+def _(spark, sf):
+    rejects = vessels.point_rejects(_spoiled_lines(spark, sf))
+    return rejects.select(F.array_join("fields", "|").alias("line"))
+
+
+@query("coord_rejects", ["spoiled"], f"SELECT line FROM spoiled WHERE {_BAD_COORD}")
+def _(spark, sf):
+    rejects = vessels.coord_rejects(_spoiled_lines(spark, sf))
+    return rejects.select(F.array_join("fields", "|").alias("line"))
+
+
+@query(
+    "scan_counts",
+    ["spoiled"],
+    f"SELECT count(*) FILTER (NOT {_BAD_POINT}) AS kept, count(*) FILTER ({_BAD_POINT}) AS rejected FROM spoiled WHERE lle <> 'click'",
+)
+def _(spark, sf):
+    marked, counts = vessels.observed(vessels.classified_points(_spoiled_lines(spark, sf)), "points")
+    stage_in(spark)(marked)
+    return spark.createDataFrame([(counts.get["kept"], counts.get["rejected"])], "kept bigint, rejected bigint")
+
+
 @query(
     "drop_unused",
     ["points"],
@@ -669,6 +711,15 @@ def _coast_file(spark, sf):
     return vessels.coastline_vertices(spark, folder)
 
 
+@query(
+    "scan_coastline",
+    ["coastline"],
+    "SELECT row_number() OVER (PARTITION BY ring ORDER BY pos) - 1 AS pos, round(x, 9) AS x, round(y, 9) AS y FROM coastline",
+)
+def _(spark, sf):
+    return _coast_file(spark, sf).select("pos", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 @query(
     "coast_segments",
     ["segments"],
@@ -1594,6 +1645,41 @@ def _(spark, sf):
 SQL["stream_batches"] = SQL["batch_examples"]
 
 
+# Every tenth event comes after the others.
+_PUNCTUAL = "(time < 1705300000 AND seq % 10 <> 0)"
+
+
+def _time_stream(spark, sf, state, out, **options):
+    return TimeBatchStream(spark, T.intervals(spark, sf), OPTIONS, state, out, **options)
+
+
+@query(
+    "stream_late",
+    ["points"],
+    f"""SELECT seq, lle, time, vessel FROM points WHERE NOT {_PUNCTUAL} AND time <
+ (SELECT min(time) FROM (SELECT time, floor(row_number() OVER (ORDER BY time) / 50) AS b FROM
+ (SELECT DISTINCT time FROM points WHERE time > 0 AND {_PUNCTUAL})) GROUP BY b ORDER BY b DESC LIMIT 1)""",
+)
+def _(spark, sf):
+    out = shared_folder(spark, "out")
+    stream = _time_stream(spark, sf, shared_folder(spark, "state"), out, join_late=False)
+    stream.run(_stream(spark, T.points(spark, sf), F.expr(_PUNCTUAL)), shared_folder(spark, "progress"))
+    return spark.read.parquet(f"{out}/late").select("seq", "lle", "time", "vessel")
+
+
+@query("stream_restart", [], SQL["batch_examples"])
+def _(spark, sf):
+    state, out = shared_folder(spark, "state"), shared_folder(spark, "out")
+    points, early = T.points(spark, sf), F.col("time") < 1_705_300_000
+    # The first program stops with a batch open, the second one knows only the folders.
+    _time_stream(spark, sf, state, out).advance(_stream(spark, points.where(early), early), shared_folder(spark, "progress"))
+    second = _time_stream(spark, sf, state, out)
+    after = second.last_epoch
+    second.process(points.where(~early), after + 1)
+    second.finish()
+    return spark.read.parquet(f"{out}/batches").select("batch_id", "time", "part", joined("annotation"), joined("narrative"))
+
+
 @query("stream_rows", [], SQL["batch_by_rows"])
 def _(spark, sf):
     events = T.table(spark, sf, "events").select("event_id", "ts")
