@@ -16,7 +16,7 @@ from tidemark.llm.queries import word_tokenizer
 
 ODD_TEXTS = [
     None, "", " ", "\n\t ", "A", "Hello, World! it's we'll", "é ́x  é", "ß ΑΣ Σ", "x y z", "日本語 テスト",
-    "<|startoftext|> a<|endoftext|>b", "a\x00b \x1c c", "🙂🙂 x", "1234 5.6", "  line", "'s 't's", "İstanbul K", "a" * 5000, "w " * 9000,
+    "<|startoftext|> a<|endoftext|>b", "a\x00b \x1c c", "🙂🙂 x", "1234 5.6", "  line", "'s 't's", "İstanbul K", "H̱a H̱. <|ENDOFTEXT|> <|endoftext|>. É. É, ÀÉ?! ×. ª. Ǆ", "a.b a..b. A1. (a) x.'s", "a" * 5000, "w " * 9000,
 ]
 
 
@@ -83,18 +83,21 @@ def test_products_follow_only_what_changed():
     assert (C.moved(products, rows_seen, after - before) == rows @ after.T).all()
 
 
-def test_unit_ids_equal_the_library():
+@pytest.mark.parametrize("remembered", [1 << 19, 60])
+def test_unit_ids_equal_the_library(monkeypatch, remembered):
     path = word_tokenizer()
     whole = Tokenizer.from_file(path)
     random.seed(3)
-    letters = "aAé \n\t.,'sß1́ 日🙂Σ<|>\x85\x0b\x1f"
+    monkeypatch.setattr(P, "_REMEMBERED", remembered)
+    letters = "aAéÉH̱K²ª÷ \n\t.,'sß1́ 日🙂Σ<|>\x85\x0b\x1f"
     texts = ODD_TEXTS + ["".join(random.choice(letters) for _ in range(random.randint(0, 60))) for _ in range(400)]
     encoder = P.UnitEncoder(open(path).read())
     for _ in range(2):  # the second time from memory
-        flat, counts = encoder.encode([(t or "").encode() for t in texts], 1)
-        ends = np.cumsum(counts)
-        for text, a, b in zip(texts, ends - counts, ends):
-            assert flat[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids + [1], text
+        for some in (texts[:10], texts[10:60], texts):
+            flat, counts = encoder.encode([(t or "").encode() for t in some], 1)
+            ends = np.cumsum(counts)
+            for text, a, b in zip(some, ends - counts, ends):
+                assert flat[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids + [1], text
 
 
 def test_histogram_is_packed_whole_and_tight():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -15,12 +16,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import pieces as slices
 from tidemark.llm.frames import reach_workers, stage
-from tidemark.llm.words import encoded
+from tidemark.llm.words import LOWER, encoded
 from tidemark.operators import ordering
 
 #: ASCII white space: no token, no rule of the supported tokenizers reaches across it.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Marks that are cut from the end of a unit, what must stand before them, and what keeps a unit from being lower-cased.
+_MARK, _ALNUM, _ODD = np.zeros((3, 256), dtype=bool)
+_MARK[[*b".,;:!?"]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_ODD[[*b"<", *range(128, 256)]] = True
 #: Units and ids that a worker remembers before it starts afresh.
 _REMEMBERED, _IDS = 1 << 19, 1 << 22
 
@@ -105,39 +111,86 @@ def _listed(pattern: tuple) -> list[tuple[int, int]]:
 class UnitEncoder:
     """Ids of texts by a public tokenizer that never joins characters across white space.
 
-    Texts are cut at ASCII white space into units, each distinct unit of a slice is encoded once, and the ids of the texts
-    are gathered from those of their units. ``json`` is the tokenizer's file. Tokenizers with other rules are refused.
+    Texts are cut at ASCII white space into units, and a mark behind a letter or digit at the end of a unit is a unit of its
+    own, as no rule joins the two. Each distinct unit of a slice is encoded once; the ids of the texts are gathered from
+    those of their units. Units in ASCII count in lower case (but for those with ``<``, which special tokens hold). ``json`` is
+    the tokenizer's file. Tokenizers with other rules are refused.
     """
 
     def __init__(self, json: str) -> None:
+        # Spark's tasks are the parallel part; threads of the tokenizer would only compete with them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         split = (lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
-        if split("ab  cd\n e") != split("ab cd e") or split("ab cd e") != split("ab") + split("cd") + split("e"):
-            raise ValueError("the tokenizer keeps white space or joins words across it")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.uint32)
-        self.filled = 0
+        if split("Ab  cd.\n e9!") != split("ab") + split("cd") + split(".") + split("e9") + split("!"):
+            raise ValueError("the tokenizer tells case or white space apart or joins words or marks")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            raise ValueError("the tokenizer does not mark the ends of words")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        self._keep({}, np.zeros(0, bool))
+
+    def _keep(self, known: dict[bytes, int], kept: np.ndarray) -> None:
+        """Remembers only the units whose places are kept."""
+        new_place = np.cumsum(kept) - 1
+        count = self.count[: kept.size][kept] if kept.any() else np.zeros(0, np.int64)
+        begin = np.cumsum(count) - count
+        flat = self.flat[np.arange(int(count.sum())) + np.repeat(self.begin[: kept.size][kept] - begin, count)] if kept.any() else None
+        self.known = {u: int(new_place[i]) for u, i in known.items() if kept[i]}
+        self.begin, self.count = _grown(begin, 1 << 12), _grown(count, 1 << 12)
+        self.flat = _grown(flat if flat is not None else np.zeros(0, np.uint32), 1 << 14)
+        self.used = np.zeros(self.begin.size, np.int8)
+        self.n, self.filled = count.size, int(count.sum())
 
     def _learn(self, units: list[bytes]) -> None:
-        encoding = self.tokenizer.encode_batch([u.decode("utf-8", "surrogatepass") for u in units], add_special_tokens=False)
-        ids = [e.ids for e in encoding]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.known), int(sizes.sum())
-        self.begin = _grown(self.begin, first + len(units))
-        self.count = _grown(self.count, first + len(units))
+        """Adds units that are not known. Those that only differ in the case of Latin letters share their ids."""
+        plain = [_lowered(u) for u in units]
+        fresh = list(dict.fromkeys(p for p in plain if p not in self.known))
+        texts = [u.decode("utf-8", "surrogatepass") for u in fresh]
+        # A unit of letters is one word of the tokenizer, so its ids end where one ends a word: such units go together.
+        letters = [t.isalpha() and (t.isascii() or max(t) < "\u0100") for t in texts]
+        single = list(itertools.compress(texts, letters))
+        ids, sizes = self._of_words(single)
+        others = [i for i, own in enumerate(letters) if not own]
+        encoding = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in others], add_special_tokens=False)]
+        ids = np.concatenate((ids, np.fromiter(itertools.chain.from_iterable(encoding), np.uint32)))
+        sizes = np.concatenate((sizes, np.fromiter(map(len, encoding), np.int64, len(encoding))))
+        fresh = [*itertools.compress(fresh, letters), *(fresh[i] for i in others)]
+        total, last = ids.size, self.n + len(fresh)
         self.flat = _grown(self.flat, self.filled + total)
-        self.begin[first : first + len(units)] = self.filled + np.cumsum(sizes) - sizes
-        self.count[first : first + len(units)] = sizes
-        self.flat[self.filled : self.filled + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.begin, self.count, self.used = (_grown(x, last + len(units)) for x in (self.begin, self.count, self.used))
+        self.begin[self.n : last] = self.filled + np.cumsum(sizes) - sizes
+        self.count[self.n : last] = sizes
+        self.flat[self.filled : self.filled + total] = ids
         self.filled += total
-        self.known.update(zip(units, range(first, first + len(units))))
+        self.known.update(zip(fresh, range(self.n, last)))
+        for unit, p in zip(units, plain):
+            if unit not in self.known:
+                at = self.known[p]
+                self.begin[last], self.count[last] = self.begin[at], self.count[at]
+                self.known[unit] = last
+                last += 1
+        self.n = last
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each) of units that are one word each."""
+        lines = [" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]
+        encoding = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in encoding), np.uint32)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if sizes.size != len(words):
+            raise RuntimeError("the tokenizer's words do not end where its units end")
+        return ids, sizes
+
+    def _forget(self) -> None:
+        """Forgets units seen in one slice only, or all if that is not enough."""
+        kept = self.used[: self.n] > 1
+        if 2 * int(kept.sum()) > _REMEMBERED or 2 * int(self.count[: self.n][kept].sum()) > _IDS:
+            kept[:] = False
+        self._keep(self.known, kept)
 
     def encode(self, data: Sequence[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each); every text ends with ``end``."""
@@ -146,22 +199,30 @@ class UnitEncoder:
         edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
         start, stop = edges[0::2], edges[1::2]
         bounds = np.cumsum(np.fromiter((len(x) + 1 for x in data), np.int64, len(data)))
-        upto = np.searchsorted(start, bounds)
-        offsets = np.concatenate(([0], np.cumsum(stop - start)))
-        kind, offset_kind = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
-        units = pa.Array.from_buffers(
-            kind, start.size, [None, pa.py_buffer(offsets.astype(offset_kind)), pa.py_buffer(joined[inside])]
-        ).dictionary_encode()
+        size = stop - start
+        odd = np.concatenate(([0], np.cumsum(_ODD[joined], dtype=np.int64)))
+        odd = odd[stop] > odd[start]
+        letters = joined[inside]
+        letters = np.where(np.repeat(odd, size), letters, LOWER[letters])
+        cut = (size > 1) & _MARK[joined[stop - 1]] & _ALNUM[joined[stop - 2]]
+        several = 1 + cut.astype(np.int64)
+        places = np.concatenate(([0], np.cumsum(several)))
+        sizes = np.ones(places[-1], np.int64)
+        sizes[places[:-1]] = size - cut
+        upto = places[np.searchsorted(start, bounds)]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        units = pa.Array.from_buffers(pa.large_binary(), sizes.size, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
         distinct = units.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > _REMEMBERED or self.filled > _IDS:
+        if self.n + len(distinct) > _REMEMBERED or self.filled > _IDS:
             self._forget()
         fresh = [u for u in distinct if u not in self.known]
         if fresh:
             self._learn(fresh)
         place = np.fromiter((self.known[u] for u in distinct), np.int64, len(distinct))
-        which = place[units.indices.to_numpy()] if start.size else np.zeros(0, np.int64)
+        self.used[place] = np.minimum(self.used[place] + 1, 2)
+        which = place[units.indices.to_numpy()] if sizes.size else np.zeros(0, np.int64)
         count = self.count[which]
-        # Every text has one more unit, its end.
+        # Every text has one more id, its end.
         sums = np.concatenate(([0], np.cumsum(count)))
         per_text = np.diff(sums[np.concatenate(([0], upto))]) + 1
         out = np.empty(int(per_text.sum()), np.uint32)
@@ -174,6 +235,14 @@ class UnitEncoder:
         return out, per_text
 
 
+def _lowered(unit: bytes) -> bytes:
+    """A unit of Latin-1 letters and signs in lower case; all others, and those with ``<``, as they are."""
+    if unit.isascii() or b"<" in unit:
+        return unit
+    text = unit.decode("utf-8", "surrogatepass")
+    return text.lower().encode() if max(text) < "\u0100" else unit
+
+
 def _grown(array: np.ndarray, n: int) -> np.ndarray:
     if array.size >= n:
         return array
