@@ -167,35 +167,39 @@ def expected(model: Model, rows: np.ndarray, sizes: np.ndarray, starts: np.ndarr
     ``rows`` is segment x place, ``sizes`` their lengths in falling order, ``starts`` marks those that begin a text.
     """
     k, (n, width) = model.start.size, rows.shape
-    table, move = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.move.astype(np.float32)
-    seen = table[rows]
-    alpha = np.empty((width, n, k), np.float32)
+    # States come before segments in all arrays, so that every step works along rows as long as the segments are many.
+    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    seen = np.take(emit, np.ascontiguousarray(rows.T), axis=1)
+    alpha = np.empty((width, k, n), np.float32)
     scale = np.ones((width, n), np.float32)
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(width)]
+    active = np.searchsorted(-sizes, -np.arange(width), side="left").tolist()
     # A segment within a text begins from the long-run shares of the states.
     inner = _long_run(model.move).astype(np.float32)
-    now = np.where(starts[:, None], model.start.astype(np.float32), inner) * seen[:, 0]
+    now = np.where(starts, model.start.astype(np.float32)[:, None], inner[:, None]) * seen[:, 0]
+    back = np.ascontiguousarray(move.T)
     for t in range(width):
         m = active[t]
         if t:
-            now = (alpha[t - 1, :m] @ move) * seen[:m, t]
-        total = now.sum(axis=1)
+            now = back @ alpha[t - 1, :, :m]
+            now *= seen[:, t, :m]
+        total = now.sum(axis=0)
         scale[t, :m] = total
-        alpha[t, :m] = now / total[:, None]
+        np.divide(now, total, out=alpha[t, :, :m])
     moves = np.zeros((k, k))
     gamma = alpha
-    beta = np.ones((n, k), np.float32)
+    beta = np.ones((k, n), np.float32)
     for t in range(width - 1, 0, -1):
         m = active[t]
-        ahead = beta[:m] * seen[:m, t] / scale[t, :m, None]
-        moves += (alpha[t - 1, :m].T @ ahead).astype(np.float64)
-        gamma[t, :m] *= beta[:m]
-        beta[:m] = ahead @ move.T
+        ahead = beta[:, :m] * seen[:, t, :m]
+        ahead /= scale[t, :m]
+        moves += alpha[t - 1, :, :m] @ ahead.T
+        gamma[t, :, :m] *= beta[:, :m]
+        beta[:, :m] = move @ ahead
     gamma[0] *= beta
     valid = np.arange(width)[:, None] < sizes[None, :]
-    flat, weights = rows.T[valid], gamma[valid]
-    emissions = np.stack([np.bincount(flat, weights[:, s], table.shape[0]) for s in range(k)])
-    return gamma[0][starts].sum(axis=0, dtype=np.float64), moves * model.move, emissions
+    flat = rows.T[valid]
+    emissions = np.stack([np.bincount(flat, gamma[:, s][valid], emit.shape[1]) for s in range(k)])
+    return gamma[0][:, starts].sum(axis=1, dtype=np.float64), moves * model.move, emissions
 
 
 def _long_run(move: np.ndarray) -> np.ndarray:
