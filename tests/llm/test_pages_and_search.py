@@ -157,9 +157,9 @@ def test_every_split_owns_its_records(split):
 
 
 def plain_top(rows, k):
-    for q, a in rows.items():
+    for q, a in rows:
         if q % 20 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b)), v) for v, b in rows.items() if v != q))[:k]
+            best = sorted(((-sum(x * y for x, y in zip(a, b)), v) for v, b in rows if v != q))[:k]
             yield from ((q, i + 1, v, -s) for i, (s, v) in enumerate(best))
 
 
@@ -169,7 +169,8 @@ def test_top_k(spark):
     vectors |= {i: [0.5] * 6 for i in range(300, 420)}
     rows = [(i, v) for i, v in vectors.items()] + [(7, [9.0] * 6), (500, None), (501, [None, 1.0]), (502, [float("nan")]), (520, [float("inf")]), (None, [1.0])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
-    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors.items()}
+    # Both rows with the id 7 are searched.
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in [*vectors.items(), (7, [9.0] * 6)]]
     how = topk.Settings(k=20, block=32, shard=100, chunk=8)
     got = sorted(map(tuple, topk.top_k(topk.whole_components(frame), F.col("vec_id") % 20 == 0, how).collect()))
     assert got == sorted(plain_top(whole, 20))
@@ -188,4 +189,17 @@ def test_blocks_are_pruned_and_large_numbers_exact():
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
+
+
+def test_rows_with_one_id_are_all_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 23 + 1, [float(x) for x in rng.integers(-5, 6, 3)]) for i in range(90)]
+    rows += [(20, [5.0, 5.0, 5.0])] * 30 + [(1, [1.0, 0.0, 0.0]), (1, [5.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    how = topk.Settings(k=6, block=8, shard=40, chunk=4)
+    got = topk.top_k(topk.whole_components(frame), F.col("vec_id") % 20 == 0, how).collect()
+    scores = sorted(
+        ((sum(int(64 * a) * int(64 * b) for a, b in zip(q, c)), -j) for i, q in rows for j, c in rows if i == 20 and j != 20), reverse=True
+    )[:6]
+    assert [(r["score"], -r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == scores

@@ -27,13 +27,13 @@ def whole_components(vectors: DataFrame, factor: float = 64.0) -> DataFrame:
     """(vec_id, v): floor(factor * x) of every component as bigints.
 
     Vectors that are null or hold a null or non-finite component go, as do null ids; components beyond 64 bits are cut
-    to the ends of their range. Of several rows with one id the least vector stands for the id.
+    to the ends of their range. Rows with one id are all kept.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     edge = float(1 << 62)
     whole = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-edge), F.least(F.lit(edge), factor * x.cast("double")))).cast("bigint"))
-    return usable.select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return usable.select("vec_id", whole.alias("v"))
 
 
 def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
@@ -96,8 +96,9 @@ def search(blocks: list[Block], ids: np.ndarray, queries: np.ndarray, k: int) ->
                 own = ids[who][:, None] == block.ids[None, :]
                 least = kth[who]
                 if scores.shape[1] > k:
-                    # The own row may be among the k + 1 best, so one more is looked at.
-                    least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1])
+                    # However many rows have the query's own id, they are not among its k best.
+                    others = np.where(own, np.iinfo(np.int64).min, scores)
+                    least = np.maximum(least, np.partition(others, -k, axis=1)[:, -k])
                 q, c = np.nonzero((scores >= least[:, None]) & ~own)
                 found.append(_best(who[q], block.ids[c], scores[q, c], k))
         best = _best(*(np.concatenate(x) for x in zip(*found)), k)
@@ -120,18 +121,22 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> list[np
 def top_k(vectors: DataFrame, is_query: Column, how: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``how.k`` highest inner products of each query with all other rows.
 
-    ``vectors`` has (vec_id, v) with distinct ids, as ``whole_components`` makes them; shorter vectors count as filled
-    with zeros. Ties go to smaller ids; a query with fewer partners gets all. Rows are cut by id into shards, queries
+    ``vectors`` has (vec_id, v), as ``whole_components`` makes them; other columns are not read. Shorter vectors count as filled
+    with zeros. Rows with one id are rows of their own: each is found, none is a partner of another, and where they ask
+    their partners are ranked together. Ties go to smaller ids; a query with fewer partners gets all. Rows are cut by id into shards, queries
     into chunks; every pair of a shard and a chunk is one task's work and gives k rows a query at most, which are merged
     by a ranked window. An empty table or no query gives an empty result.
     """
     spark = vectors.sparkSession
     reach_workers(spark)
-    rows = stage(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v", F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
+    numbered = vectors.select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), "v", F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("at")
+    )
+    rows = stage(numbered, "vectors")
     counts = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
     width = max(1, counts[2] or 0)
     shards, chunks = -(-counts[0] // how.shard) or 1, -(-counts[1] // how.chunk) or 1
-    ranged = rows.repartitionByRange(shards, "vec_id").select("vec_id", "v", F.spark_partition_id().alias("shard"))
+    ranged = rows.repartitionByRange(shards, "vec_id", "at").select("vec_id", "v", F.spark_partition_id().alias("shard"))
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")
     asked = rows.where("asks").select("vec_id", "v", chunk.alias("chunk"))
     # Each shard meets each chunk once; what is copied is (rows x chunks) + (queries x shards) vectors.
