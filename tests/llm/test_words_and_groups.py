@@ -170,6 +170,29 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(r["place"] for r in got.collect()) == plain_firsts(rows)
 
 
+def test_common_counts_like_sets():
+    rng = np.random.default_rng(4)
+    sides = []
+    for n in (7, 11):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(n)]
+        sides.append((np.concatenate(sets), np.array([s.size for s in sets]), [set(s.tolist()) for s in sets]))
+    for width in (1, 7, 2048):
+        got = S.common_counts(sides[0][:2], sides[1][:2], width)
+        assert got.tolist() == [[len(x & y) for y in sides[1][2]] for x in sides[0][2]]
+
+
+def test_chunks_of_a_band_lose_no_link(spark, monkeypatch):
+    """A family of texts of which only some pairs are near, its bands cut into chunks of five rows."""
+    monkeypatch.setattr(S, "_ROWS", 5)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(240)]
+    rows = [(i, " ".join(rewritten(rng, base, rng.sample(range(240), rng.choice((2, 4, 6, 8)))))) for i in range(60)]
+    rows += [(100, " ".join(base)), (3, " ".join(base))]
+    got = S.first_of_groups(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int"))
+    want = plain_firsts(rows)
+    assert 1 < len(want) < 60 and sorted(r["place"] for r in got.collect()) == want
+
+
 def test_rows_that_share_a_repeated_line_stay(spark):
     """146 own shingles and a line of 12 words 30 times: a similarity of 0.04."""
     rng = random.Random(3)

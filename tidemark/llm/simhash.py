@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import at_least, free_name, pieces, reach_workers, stage
+from tidemark.llm.frames import at_least, free_name, pieces, reach_workers, remove, stage, store
 from tidemark.llm.words import SOLID, Words, encoded, mix
 
 _LANES = np.uint64(0x0101010101010101)
@@ -66,6 +66,9 @@ SIMILAR = Similar()
 #: Fingerprints wanted in a task of the join, and the most of one trie node before it is split over several tasks.
 _WANTED, _MOST = 4_000, 60_000
 
+#: Rows and shingles of a chunk of texts whose sets are compared in one task.
+_ROWS, _ELEMENTS = 1_024, 1_000_000
+
 
 def shingles_of(data: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The XXH64 of each run of ``k`` words, text after text, and how many each text has. Fewer words are one run."""
@@ -424,55 +427,167 @@ def _sketches(docs: DataFrame, how: Similar) -> DataFrame:
     return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, sig binary, n bigint, keys array<bigint>")
 
 
-def _near(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
-    """The pairs (a, b) of rows whose texts are near, by their whole sets of shingles."""
+def _whole_sets(docs: DataFrame, asked: DataFrame, how: Similar) -> DataFrame:
+    """(row, s, k) of the asked rows: all shingles of a text and its band keys, as bytes of 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             hashed, counts = sets_of(encoded(batch.column(1).to_pylist()), how)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(hashed.view(np.int64)))], ["row", "s"])
+            ends = np.cumsum(counts)
+            sets = [hashed[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
+            keys = [k.tobytes() for k in band_keys(hashed, counts, how)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], ["row", "s", "k"])
 
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = stage(docs.select("row", "text").join(asked, "row", "left_semi").mapInArrow(run, "row bigint, s array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("s")), "a").join(
-        sets.select(F.col("row").alias("b"), F.col("s").alias("t")), "b"
-    )
-    common = F.size(F.array_intersect("s", "t")).cast("bigint")
-    union = F.size("s") + F.size("t") - common
-    return stage(both.where(10 * common >= how.share * union).select("a", "b"), "near")
+    return docs.select("row", "text").join(asked.select("row").distinct(), "row", "left_semi").mapInArrow(run, "row bigint, s binary, k binary")
+
+
+def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``; both are (elements set after set, sizes).
+
+    Products of 0/1 matrices, ``width`` elements at a time and only elements that occur on both sides.
+    """
+    shared = np.intersect1d(a[0], b[0])
+    out = np.zeros((a[1].size, b[1].size), np.float64)
+    sides = []
+    for elements, sizes in (a, b):
+        at = np.searchsorted(shared, elements)
+        known = at < shared.size
+        known[known] = shared[at[known]] == elements[known]
+        order = np.argsort(at[known], kind="stable")
+        sides.append((at[known][order], np.repeat(np.arange(sizes.size), sizes)[known][order], sizes.size))
+    for low in range(0, shared.size, width):
+        parts = []
+        for at, owner, n in sides:
+            begin, end = np.searchsorted(at, (low, low + width))
+            part = np.zeros((n, min(width, shared.size - low)), np.float32)
+            part[owner[begin:end], at[begin:end] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def near_within(band: int, side: np.ndarray, root: np.ndarray, sets: list[bytes], keys: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places (a, b), of the near pairs of a task: side 0 with side 1, or side 0 with itself.
+
+    Pairs of one root are connected already. A pair that shares an earlier band is left to the task of that one.
+    """
+    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1)
+    own = not y.size
+    y = x if own else y
+    asked = root[x][:, None] != root[y][None, :]
+    if own:
+        asked &= x[:, None] < y[None, :]
+    low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
+    asked &= 10 * low >= how.share * high
+    for b in range(band):
+        asked &= keys[x, b][:, None] != keys[y, b][None, :]
+    rows, columns = asked.any(axis=1), asked.any(axis=0)
+    x, y, asked = x[rows], y[columns], asked[np.ix_(rows, columns)]
+    if not x.size:
+        return x, y
+    a, b = ((np.frombuffer(b"".join([sets[i] for i in z]), np.uint64), sizes[z]) for z in (x, y))
+    common = common_counts(a, b)
+    near = asked & (10 * common >= how.share * (a[1][:, None] + b[1][None, :] - common))
+    i, j = np.nonzero(near)
+    labels = merge(np.arange(len(sets)), x[i], y[j])
+    moved = np.flatnonzero(labels != np.arange(labels.size))
+    return moved, labels[moved]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[int], pa.Table]]:
+    """Consecutive rows of equal keys, which may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last: list[int] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            key = keys[begin].tolist()
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _verified(deals: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
+    """Links (a, b) that connect the near pairs of every task (band, key, i, j) of (band, key, i, j, side, row, root).
+
+    A set goes once to each task that its row is dealt to; a task compares inside and puts out a spanning forest.
+    """
+    task = ["band", "key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, *_), table in _by_key(batches, task):
+            keys = np.frombuffer(b"".join(table.column("k").to_pylist()), np.uint64).reshape(-1, how.bands)
+            row, side, root = (table.column(c).to_numpy() for c in ("row", "side", "root"))
+            a, b = near_within(band, side, root, table.column("s").to_pylist(), keys, how)
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["a", "b"])
+
+    dealt = deals.join(sets, "row").repartition(*task).sortWithinPartitions(*task)
+    return dealt.select(*task, "side", "row", "root", "s", "k").mapInArrow(run, "a bigint, b bigint")
+
+
+def _chunks(rows: Column, elements: Column) -> Column:
+    """Chunks of a group so that one has about ``_ROWS`` rows and ``_ELEMENTS`` shingles; a longer text still is whole."""
+    return F.greatest(F.ceil(rows / _ROWS), F.ceil(elements / _ELEMENTS)).cast("int")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
     """Links (a, b) between rows of (row, text) that connect all near pairs that share a band.
 
-    ``sketches`` holds a row of each distinct set. First every row of a band is compared with the least row there. Then all
-    other pairs of a band are compared whose rows these links have not connected yet, so a large group of near copies is
-    never paired with itself, and no link stands on an estimate.
+    ``sketches`` holds a row of each distinct set. First every row of a band is compared with the central row there, the one
+    whose bands hold the most rows: a text that others were made from. Then all pairs of a band are compared whose rows
+    these links have not connected, each pair in the first band it shares. Bands are cut into chunks, pairs of chunks go to
+    tasks, and a task compares whole sets, so no link stands on an estimate and no pair becomes a row.
     """
-    rows = stage(sketches.select("row", "n", F.posexplode("keys").alias("band", "key")), "bands")
-    heads = stage(rows.groupBy("band", "key").agg(F.min("row").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"), "heads")
-    members = stage(rows.join(heads, ["band", "key"]), "members")
-    first = stage(members.where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    found = _near(first, docs, how)
-    roots = stage(components(found).select(F.col("node").alias("row"), "root"), "roots")
-    members = stage(members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "members")
-    # Rows linked with the head of their band are not paired among each other, nor again with the head.
-    apart = members.alias("m").join(
-        members.where("row = head").select("band", "key", F.col("root").alias("top")), ["band", "key"]
-    ).where("root <> top").select("band", "key", "row", "n", "root")
-    apart = stage(apart, "apart")
-    x = apart.select("band", "key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = members.where("row <> head").join(
-        stage(apart.select("band", "key").distinct(), "mixed"), ["band", "key"], "left_semi"
-    ).select("band", "key", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    # Of a pair of two rows apart each is on both sides; one order of it is enough.
-    y = y.join(apart.select("band", "key", F.col("row").alias("b"), F.lit(True).alias("also")), ["band", "key", "b"], "left")
-    y = stage(y, "partners")
-    sizes = (10 * F.least("na", "nb") >= how.share * F.greatest("na", "nb")) & (F.col("ra") != F.col("rb"))
-    second = x.join(y, ["band", "key"]).where(sizes & (F.col("also").isNull() | (F.col("a") > F.col("b"))))
-    second = stage(second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    return found if second.isEmpty() else found.union(_near(second, docs, how))
+    spark, made = docs.sparkSession, []
+
+    def kept(frame: DataFrame, purpose: str) -> DataFrame:
+        stored, path = store(frame, purpose)
+        made.append(path)
+        return stored
+
+    bucket = ["band", "key"]
+    rows = kept(sketches.select("row", "n", F.posexplode("keys").alias("band", "key")), "bands")
+    counts = kept(rows.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    members = kept(rows.join(counts, bucket), "members")
+    central = kept(members.groupBy("row").agg(F.sum("m").alias("central")), "central")
+    heads = members.join(central, "row").groupBy(*bucket).agg(F.max(F.struct("central", -F.col("row"), "n")).alias("x"))
+    heads = kept(heads.select(*bucket, (-F.col("x.col2")).alias("head"), F.col("x.n").alias("hn")), "heads")
+
+    sized = 10 * F.least("n", "hn") >= how.share * F.greatest("n", "hn")
+    pairs = kept(members.join(heads, bucket).where(sized & (F.col("row") != F.col("head"))).select("row", "n", "head", "hn").distinct(), "pairs")
+    sizes = pairs.groupBy("head").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
+    sizes = kept(sizes, "sizes")
+    one = pairs.join(sizes, "head").select(F.col("head").alias("key"), F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("i"), F.lit(0).alias("side"), "row")
+    top = sizes.select(F.col("head").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(1).alias("side"), F.col("head").alias("row"))
+    deals = kept(one.unionByName(top).select(F.lit(0).alias("band"), "key", "i", F.lit(0).alias("j"), "side", "row", F.col("row").alias("root")), "deals")
+    sets = kept(_whole_sets(docs, members, how), "sets")
+    found = stage(_verified(deals, sets, how), "near")
+
+    roots = kept(components(found).select(F.col("node").alias("row"), "root"), "roots")
+    members = kept(members.drop("m").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "members")
+    mixed = members.groupBy(*bucket).agg(
+        _chunks(F.count("*"), F.sum("n")).alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    mixed = kept(mixed.where("low <> high").select(*bucket, "chunks"), "mixed")
+    mine, other = F.pmod(F.xxhash64("row"), "chunks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    deals = members.join(mixed, bucket).withColumn("mine", mine).withColumn("other", other)
+    deals = deals.select(
+        *bucket, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        (F.col("mine") > F.col("other")).cast("int").alias("side"), "row", "root",
+    )
+    found = stage(found.union(_verified(kept(deals, "deals"), sets, how)), "near")
+    remove(spark, *made)
+    return found
 
 
 def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", how: Similar = SIMILAR) -> DataFrame:
@@ -488,7 +603,7 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     worded = docs.where(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]") & F.col(f"`{id_column}`").isNotNull()).select(
         F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")
     )
-    sketches = stage(_sketches(worded, how), "sketches")
+    sketches, sketched = store(_sketches(worded, how), "sketches")
     owners = stage(sketches.groupBy("sig").agg(F.min("row").alias("node")), "owners")
     single = sketches.join(owners.select(F.col("node").alias("row")), "row", "left_semi")
     roots = components(near_links(worded, single, how)).select("node", "root")
@@ -497,4 +612,6 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     least = rooted.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("m")).where("m > 1")
     least = stage(least.select("root", F.col("least.row").alias("first")), "least")
     lost = rooted.join(least, "root").where("row <> first").select(F.col("row").alias(row))
-    return docs.join(stage(lost, "lost"), row, "left_anti").drop(row)
+    lost = stage(lost, "lost")
+    remove(docs.sparkSession, sketched)
+    return docs.join(lost, row, "left_anti").drop(row)
