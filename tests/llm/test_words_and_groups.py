@@ -181,6 +181,24 @@ def test_common_counts_like_sets():
         assert got.tolist() == [[len(x & y) for y in sides[1][2]] for x in sides[0][2]]
 
 
+def test_parities_leave_every_near_pair_open():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 20, 126, 130, 900):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for own in (0, n // 20, n // 9, n // 8, n // 5, n):
+            sets.append(np.unique(np.concatenate((base[own:], rng.integers(0, 1 << 63, own, np.uint64)))))
+    sizes = np.array([x.size for x in sets])
+    parities, every = S.parity_bits(np.concatenate(sets), sizes), np.arange(sizes.size)
+    alike = 10 * np.minimum.outer(sizes, sizes) >= 8 * np.maximum.outer(sizes, sizes)
+    still = S.may_be_near(every, every, alike, sizes, parities, S.SIMILAR)
+    plain = [set(x.tolist()) for x in sets]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in plain] for a in plain])
+    # Every near pair stays open, and most others of like size do not.
+    assert still[near].all() and near.sum() > 50
+    assert 5 * (still & ~near).sum() < (alike & ~near).sum()
+
+
 def test_chunks_of_a_band_lose_no_link(spark, monkeypatch):
     """A family of texts of which only some pairs are near, its bands cut into chunks of five rows."""
     monkeypatch.setattr(S, "_ROWS", 5)

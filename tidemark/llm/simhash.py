@@ -427,8 +427,25 @@ def _sketches(docs: DataFrame, how: Similar) -> DataFrame:
     return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, sig binary, n bigint, keys array<bigint>")
 
 
+def parity_bits(hashed: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """For each set the parity of its elements by their last bits, in 4 to 8 bits an element, at least 64.
+
+    Two sets differ in at least as many elements as their parities differ in bits. Lengths are powers of two; the xor of the
+    halves is the parity of half the length.
+    """
+    length = 1 << np.ceil(np.log2(np.maximum(64, 4 * counts))).astype(np.int64)
+    ends = np.cumsum(length)
+    owner = np.repeat(np.arange(counts.size), counts)
+    at = (ends - length)[owner] + (hashed & (length - 1).astype(np.uint64)[owner]).astype(np.int64)
+    places, times = np.unique(at, return_counts=True)
+    bits = np.zeros(int(length.sum()), np.uint8)
+    bits[places[times % 2 == 1]] = 1
+    packed = np.packbits(bits, bitorder="little")
+    return [packed[i:j].tobytes() for i, j in zip(((ends - length) // 8).tolist(), (ends // 8).tolist())]
+
+
 def _whole_sets(docs: DataFrame, asked: DataFrame, how: Similar) -> DataFrame:
-    """(row, s, k) of the asked rows: all shingles of a text and its band keys, as bytes of 64-bit numbers."""
+    """(row, n, s, k, p) of the asked rows: size and elements of a text's set, its band keys and its parities, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -436,9 +453,11 @@ def _whole_sets(docs: DataFrame, asked: DataFrame, how: Similar) -> DataFrame:
             ends = np.cumsum(counts)
             sets = [hashed[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
             keys = [k.tobytes() for k in band_keys(hashed, counts, how)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], ["row", "s", "k"])
+            columns = [pa.array(x, pa.binary()) for x in (sets, keys, parity_bits(hashed, counts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *columns], ["row", "n", "s", "k", "p"])
 
-    return docs.select("row", "text").join(asked.select("row").distinct(), "row", "left_semi").mapInArrow(run, "row bigint, s binary, k binary")
+    wanted = docs.select("row", "text").join(asked.select("row").distinct(), "row", "left_semi")
+    return wanted.mapInArrow(run, "row bigint, n bigint, s binary, k binary, p binary")
 
 
 def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], width: int = 2048) -> np.ndarray:
@@ -466,14 +485,15 @@ def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return out
 
 
-def near_within(band: int, side: np.ndarray, root: np.ndarray, sets: list[bytes], keys: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as places (a, b), of the near pairs of a task: side 0 with side 1, or side 0 with itself.
+def asked_pairs(
+    band: int, side: np.ndarray, root: np.ndarray, sizes: np.ndarray, keys: np.ndarray, how: Similar
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x, y and which pairs of them a task compares: side 0 with side 1, or side 0 with itself.
 
-    Pairs of one root are connected already. A pair that shares an earlier band is left to the task of that one.
+    Pairs of one root are connected already, sizes too far apart cannot be near, and a pair that shares an earlier band is
+    left to the task of that one. Places without a pair are left out.
     """
-    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
-    x = np.flatnonzero(side == 0)
-    y = np.flatnonzero(side == 1)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     own = not y.size
     y = x if own else y
     asked = root[x][:, None] != root[y][None, :]
@@ -484,7 +504,38 @@ def near_within(band: int, side: np.ndarray, root: np.ndarray, sets: list[bytes]
     for b in range(band):
         asked &= keys[x, b][:, None] != keys[y, b][None, :]
     rows, columns = asked.any(axis=1), asked.any(axis=0)
-    x, y, asked = x[rows], y[columns], asked[np.ix_(rows, columns)]
+    return x[rows], y[columns], asked[np.ix_(rows, columns)]
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, asked: np.ndarray, sizes: np.ndarray, parities: list[bytes], how: Similar) -> np.ndarray:
+    """Which of the asked pairs the parities leave open; a near pair is always among them."""
+    out = np.zeros(asked.shape, bool)
+    length = np.fromiter((len(p) for p in parities), np.int64, len(parities))
+    for lx in np.unique(length[x]):
+        for ly in np.unique(length[y]):
+            i, j = np.flatnonzero(length[x] == lx), np.flatnonzero(length[y] == ly)
+            if not asked[np.ix_(i, j)].any():
+                continue
+            left, right = (_folded([parities[n] for n in z], min(lx, ly)) for z in (x[i], y[j]))
+            for n, one in zip(i, left):
+                apart = np.bitwise_count(right ^ one).sum(axis=1, dtype=np.int64)
+                out[n, j] = (10 + how.share) * apart <= (10 - how.share) * (sizes[x[n]] + sizes[y[j]])
+    return out & asked
+
+
+def _folded(parities: list[bytes], size: int) -> np.ndarray:
+    """Parities of equal length as rows of 64-bit words, folded to ``size`` bytes."""
+    words = np.frombuffer(b"".join(parities), np.uint64).reshape(len(parities), -1)
+    while words.shape[1] * 8 > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def near_within(band: int, side: np.ndarray, root: np.ndarray, sets: list[bytes], keys: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places (a, b), of the near pairs that a task compares."""
+    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+    x, y, asked = asked_pairs(band, side, root, sizes, keys, how)
     if not x.size:
         return x, y
     a, b = ((np.frombuffer(b"".join([sets[i] for i in z]), np.uint64), sizes[z]) for z in (x, y))
@@ -516,23 +567,45 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         yield last, pa.Table.from_batches(held)
 
 
+_TASK = ["band", "key", "i", "j"]
+
+
+def _task_keys(table: pa.Table, how: Similar) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("k").to_pylist()), np.uint64).reshape(-1, how.bands)
+
+
+def _promising(deals: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
+    """The deals whose row has a partner in its task that sizes and parities leave open; no near pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, *_), table in _by_key(batches, _TASK):
+            side, root, n = (table.column(c).to_numpy() for c in ("side", "root", "n"))
+            x, y, asked = asked_pairs(band, side, root, n, _task_keys(table, how), how)
+            if x.size:
+                still = may_be_near(x, y, asked, n, table.column("p").to_pylist(), how)
+                places = np.union1d(x[still.any(axis=1)], y[still.any(axis=0)])
+                if places.size:
+                    yield from table.select([*_TASK, "side", "row", "root"]).take(pa.array(places)).to_batches()
+
+    dealt = deals.join(sets.select("row", "n", "k", "p"), "row").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return dealt.select(*_TASK, "side", "row", "root", "n", "k", "p").mapInArrow(run, deals.select(*_TASK, "side", "row", "root").schema)
+
+
 def _verified(deals: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
     """Links (a, b) that connect the near pairs of every task (band, key, i, j) of (band, key, i, j, side, row, root).
 
     A set goes once to each task that its row is dealt to; a task compares inside and puts out a spanning forest.
     """
-    task = ["band", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, *_), table in _by_key(batches, task):
-            keys = np.frombuffer(b"".join(table.column("k").to_pylist()), np.uint64).reshape(-1, how.bands)
+        for (band, *_), table in _by_key(batches, _TASK):
             row, side, root = (table.column(c).to_numpy() for c in ("row", "side", "root"))
-            a, b = near_within(band, side, root, table.column("s").to_pylist(), keys, how)
+            a, b = near_within(band, side, root, table.column("s").to_pylist(), _task_keys(table, how), how)
             if a.size:
                 yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["a", "b"])
 
-    dealt = deals.join(sets, "row").repartition(*task).sortWithinPartitions(*task)
-    return dealt.select(*task, "side", "row", "root", "s", "k").mapInArrow(run, "a bigint, b bigint")
+    dealt = deals.join(sets.select("row", "s", "k"), "row").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return dealt.select(*_TASK, "side", "row", "root", "s", "k").mapInArrow(run, "a bigint, b bigint")
 
 
 def _chunks(rows: Column, elements: Column) -> Column:
@@ -546,7 +619,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
     ``sketches`` holds a row of each distinct set. First every row of a band is compared with the central row there, the one
     whose bands hold the most rows: a text that others were made from. Then all pairs of a band are compared whose rows
     these links have not connected, each pair in the first band it shares. Bands are cut into chunks, pairs of chunks go to
-    tasks, and a task compares whole sets, so no link stands on an estimate and no pair becomes a row.
+    tasks, and no pair becomes a row. Tasks see parities first, which rule most pairs out for certain; the sets of rows with
+    a pair left open are then compared whole, so no link stands on an estimate.
     """
     spark, made = docs.sparkSession, []
 
@@ -571,7 +645,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
     top = sizes.select(F.col("head").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(1).alias("side"), F.col("head").alias("row"))
     deals = kept(one.unionByName(top).select(F.lit(0).alias("band"), "key", "i", F.lit(0).alias("j"), "side", "row", F.col("row").alias("root")), "deals")
     sets = kept(_whole_sets(docs, members, how), "sets")
-    found = stage(_verified(deals, sets, how), "near")
+    found = stage(_verified(kept(_promising(deals, sets, how), "promising"), sets, how), "near")
 
     roots = kept(components(found).select(F.col("node").alias("row"), "root"), "roots")
     members = kept(members.drop("m").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "members")
@@ -585,7 +659,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
         *bucket, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), "row", "root",
     )
-    found = stage(found.union(_verified(kept(deals, "deals"), sets, how)), "near")
+    deals = kept(_promising(kept(deals, "deals"), sets, how), "promising")
+    found = stage(found.union(_verified(deals, sets, how)), "near")
     remove(spark, *made)
     return found
 
