@@ -203,3 +203,9 @@ def test_rows_with_one_id_are_all_searched(spark):
         ((sum(int(64 * a) * int(64 * b) for a, b in zip(q, c)), -j) for i, q in rows for j, c in rows if i == 20 and j != 20), reverse=True
     )[:6]
     assert [(r["score"], -r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == scores
+
+
+def test_only_the_attributes_of_hidden_parts_hide_them():
+    page = """<article><p title="a hidden gem">One, two.</p><p alt='display:none'>Three.</p><p data-id="menu">Four.</p>
+    <p hidden>No.</p><p aria-hidden="TRUE">No.</p><p STYLE='color:red; display : none'>No.</p><p hidden="">No.</p><div class=menu>No.</div></article>"""
+    assert html.main_text(page) == "One, two.\nThree.\nFour."

@@ -17,8 +17,8 @@ from tidemark.llm.frames import pieces, reach_workers
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'<=]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[\"'=])*+)(?:>|(?=<)|\Z)", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Text inside these is not markup.
@@ -72,11 +72,14 @@ def _outside(tag: str, attributes: str, within: int, in_article: bool) -> int:
         return 1
     if tag == "header":
         return 2 if in_article else 1
-    if attributes:
-        if _HIDDEN.search(attributes):
+    if attributes and not attributes.isspace():
+        values: dict[str, str] = {}
+        for match in _ATTRIBUTE.finditer(attributes):
+            values.setdefault(match[1].lower(), match[2] or match[3] or match[4] or "")
+        if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(values.get("style", "")):
             return 1
-        for match in _NAMES.finditer(attributes):
-            words = {w.lower() for w in _WORDS.findall(match[1] or match[2] or match[3] or "")}
+        for name in ("class", "id", "role"):
+            words = {w.lower() for w in _WORDS.findall(values.get(name, ""))}
             # A part of comments stays one even if it is called their content.
             if words & _AROUND and tag not in ("html", "body", "article", "main"):
                 if not words & _INSIDE or words & {"comment", "comments", "commentlist", "ad", "ads", "sidebar"}:
