@@ -5,9 +5,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tidemark.config import BatchOptions, FileInput
-from tidemark.operators import batching, intervals as I, nesting, ordering
+from tidemark.operators import batching, intervals as I, nesting, noise, ordering
 from tidemark.plans import programs, vessel_batches as V
 from tidemark.session import stage_in
+from workload.queries import QUERIES
 
 FAR = 5_000_000_000
 
@@ -153,3 +154,17 @@ def test_coast_file_and_spelling_reach_the_program(spark, tmp_path):
     assert sum("stopped(v0)" in a for a in kept) < sum("stopped(v0)" in a for a in every)
     spelled = atoms(replace(files, batch=BatchOptions(size=100, spelling="predicates")))
     assert "HappensAt(Gap_start_v0,10)" in spelled and len(spelled) == len(every)
+
+
+def test_located_times_go_before_intervals_are_multiplied(spark):
+    times = spark.createDataFrame([(t,) for t in range(0, 60, 2)] + [(t,) for t in range(4090, 4110)], "time long")
+    at = [("v0", 10), ("v0", 11), ("v1", 20), ("v1", 4095), ("v1", 4097), ("v2", 4100), ("v3", 4100)]
+    located = spark.createDataFrame(at, "vessel string, time long")
+    plain = noise.drop_located_intervals(I.contain_join(times, spans(spark)), located, ("stopped", "lowSpeed"))
+    found = noise.contained_without_located(times, spans(spark), located, ("stopped", "lowSpeed"))
+    rows = sorted((r["time"], r["seq"]) for r in found.collect())
+    assert rows == sorted((r["time"], r["seq"]) for r in plain.collect())
+    assert 0 < len(rows) < I.contain_join(times, spans(spark)).count()
+    # Rows of the containment are not joined again: the anti join would move all of them.
+    query = QUERIES["noise_interval"](spark, "/root/testdata/sf0.001")
+    assert "LeftAnti" not in query._jdf.queryExecution().executedPlan().toString()
