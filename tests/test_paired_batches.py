@@ -8,7 +8,7 @@ from tidemark.config import BatchOptions, FileInput
 from tidemark.operators import batching, intervals as I, nesting, noise, ordering
 from tidemark.plans import programs, vessel_batches as V
 from tidemark.session import stage_in
-from workload.queries import QUERIES
+from workload.queries import OPTIONS as QUERY_OPTIONS, QUERIES, _batches
 
 FAR = 5_000_000_000
 
@@ -168,3 +168,27 @@ def test_located_times_go_before_intervals_are_multiplied(spark):
     # Rows of the containment are not joined again: the anti join would move all of them.
     query = QUERIES["noise_interval"](spark, "/root/testdata/sf0.001")
     assert "LeftAnti" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_batches_make_no_row_per_atom(spark):
+    batches = built(spark)
+    uncut = replace(OPTIONS, max_atoms=None)
+    whole = flat(V.batch_examples(batches, uncut).collect(), "batch_id", "time")
+    cut = flat(V.batch_examples(batches, replace(OPTIONS, max_atoms=7)).collect(), "batch_id", "time")
+    assert whole == cut
+    documents = flat(V.batch_documents(batches, uncut).collect(), "batch_id", "time")
+    assert documents == flat(V.batch_documents(batches, replace(OPTIONS, max_atoms=3)).collect(), "batch_id", "time")
+    # Atoms are written inside the rows of the batches: nothing multiplies rows above the last grouping.
+    text = V.batch_examples(batches, uncut)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text[: text.index("ObjectHashAggregate")]
+
+
+def test_a_dense_batch_is_one_row_as_its_sql_says(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i % 40:02d}", i // 40, "view" if i % 40 < 39 else "click") for i in range(40 * 90)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    batches = _batches(spark, str(tmp_path))
+    spread = [r["n"] for r in V.example_atoms(batches).groupBy("batch_id").agg(F.count("*").alias("n")).collect()]
+    found = V.batch_examples(batches, QUERY_OPTIONS, stage_in(spark)).collect()
+    assert [r["part"] for r in found] == [0] and [len(r["annotation"]) + len(r["narrative"]) for r in found] == spread
+    assert QUERY_OPTIONS.max_atoms is None
