@@ -78,3 +78,19 @@ def merge_all(
     counts = examples.groupBy("dataset").agg(held.alias("n"))
     merged = nest_examples(atoms, ["dataset"], [*order, "place"], max_atoms, slices, counts=counts)
     return merged.join(first, "dataset")
+
+
+def whole_text(parts: DataFrame, separator: str = "|") -> DataFrame:
+    """The parts of each dataset put together as text: (dataset, part, time, annotation, narrative), part 0.
+
+    Every part becomes one text before the grouping, so a dataset's row is made from one text per part and not from a list
+    of all its atoms. Lists without atoms leave no separator behind.
+    """
+    roles = (ANNOTATION, NARRATIVE)
+    texts = [F.when(F.size(c) > 0, F.struct("part", F.array_join(c, separator).alias("text"))).alias(c) for c in roles]
+    told = [F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda p: p["text"]), separator).alias(c) for c in roles]
+    return (
+        parts.select("dataset", "time", *texts)
+        .groupBy("dataset")
+        .agg(F.lit(0).cast("bigint").alias("part"), F.min("time").alias("time"), *told)
+    )
