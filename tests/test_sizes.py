@@ -1,6 +1,9 @@
 """Results and work that must not change where a group grows."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import examples
+from tidemark.sources import tables
 
 
 def test_parts_of_a_dataset_make_one_text(spark):
@@ -10,3 +13,13 @@ def test_parts_of_a_dataset_make_one_text(spark):
     assert parts.where("dataset = 'a'").count() > 1
     got = {r["dataset"]: (r["part"], r["time"], r["annotation"], r["narrative"]) for r in examples.whole_text(parts).collect()}
     assert got["a"] == (0, 0, "n0|n3|n6|n9", "|".join(f"x{t}|y{t}" for t in range(12)))
+
+
+def test_rows_are_numbered_over_the_files_of_a_folder(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 2).cast("string").alias("subject"), "id", F.concat(F.lit("r"), "id").alias("value"))
+    ranged = rows.repartitionByRange(5, "subject", "id").sortWithinPartitions("subject", "id").select("subject", "value")
+    ranged.write.partitionBy("subject").text(str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("subject=0/*.txt"))) > 1
+    read = tables.read_matrix(spark, str(tmp_path / "m"), F.col("subject").cast("string"), {"code": 1}, in_files=True)
+    got = {(r["subject"], r["time"]): r["code"] for r in read.collect()}
+    assert got == {(str(n % 2), n // 2): f"r{n}" for n in range(40)}

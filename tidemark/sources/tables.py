@@ -20,23 +20,33 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
-def file_row_numbers(lines: DataFrame, name: str = "time") -> DataFrame:
+def file_row_numbers(lines: DataFrame, name: str = "time", folder: bool = False) -> DataFrame:
     """Adds the zero-based row number within each file.
 
     ``lines`` has path, block and line; numbers run over file blocks, so a large
-    file is numbered by as many tasks as it has blocks.
+    file is numbered by as many tasks as it has blocks. With ``folder`` the files of a folder are one recording, in the
+    order of their names, and numbers run on from file to file.
     """
-    numbered = ordering.number_rows(lines, ["line"], [F.col("block")], ["path"], "_row")
+    if not folder:
+        numbered = ordering.number_rows(lines, ["line"], [F.col("block")], ["path"], "_row")
+    else:
+        there = lines.withColumn("_folder", F.regexp_replace("path", "/[^/]*$", ""))
+        numbered = ordering.number_rows(there, ["line"], [F.col("path"), F.col("block")], ["_folder"], "_row").drop("_folder")
     return numbered.withColumn(name, F.col("_row") - 1).drop("_row", "path", "block", "line")
 
 
 def read_matrix(
-    spark: SparkSession, path: str, subject: Column | None = None, columns: Mapping[str, int] = MATRIX_COLUMNS
+    spark: SparkSession,
+    path: str,
+    subject: Column | None = None,
+    columns: Mapping[str, int] = MATRIX_COLUMNS,
+    in_files: bool = False,
 ) -> DataFrame:
     """Space-separated matrix rows: (subject, time, one column per label code).
 
     Columns are given by one-based place. The time is the row number in the
-    file, the subject by default the file name up to the first dash.
+    file, the subject by default the file name up to the first dash. With ``in_files`` a recording is a folder whose files
+    follow each other by name, and the time is the row number in it.
     """
     subject = subject_name(F.col("_metadata.file_name")) if subject is None else subject
     codes = [F.get("_codes", F.lit(place - 1)).alias(name) for name, place in columns.items()]
@@ -51,7 +61,7 @@ def read_matrix(
         )
         .select("subject", "path", "block", "line", *codes)
     )
-    return file_row_numbers(lines)
+    return file_row_numbers(lines, folder=in_files)
 
 
 def read_series(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
