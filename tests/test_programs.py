@@ -1,7 +1,9 @@
 """The programs on small files, the stream forms, and the sinks."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tidemark.config import BatchOptions, FileInput, StoredInput
 from tidemark.plans import programs
@@ -257,6 +259,17 @@ def test_stream_with_late_rows_and_a_repeated_epoch(spark, tmp_path):
         assert got == want
 
 
+def test_long_rows_of_a_stream_stand_in_small_row_groups(spark, tmp_path):
+    stream = TimeBatchStream(spark, spark.createDataFrame([], INTERVALS), BatchOptions(size=2), f"{tmp_path}/state", f"{tmp_path}/out")
+    atoms = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.md5(F.concat(i.cast("string"), F.col("id").cast("string"))))
+    frame = spark.range(0, 40, 1, 1).select(F.col("id").alias("batch_id"), atoms.alias("narrative"))
+    stream._emit(frame, 0)
+    (file,) = (tmp_path / "out" / "batches" / "epoch=0").glob("*.parquet")
+    told = pq.read_metadata(file)
+    assert max(told.row_group(i).total_byte_size for i in range(told.num_row_groups)) < 4 << 20
+    assert spark.read.parquet(str(tmp_path / "out" / "batches")).drop("epoch").exceptAll(frame).isEmpty()
+
+
 def test_row_stream(spark, tmp_path):
     stream = RowBatchStream(spark, 4, "n", str(tmp_path / "state"), str(tmp_path / "out"))
     numbers = spark.range(11).withColumnRenamed("id", "n")
