@@ -1,5 +1,6 @@
 """Batches from paired interval ends: equal rows however they are put together, noise lists, lookups over gaps."""
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -132,6 +133,36 @@ def test_noise_by_distance_is_the_same_on_both_ways(spark):
     )
 
 
+def test_noise_is_drawn_before_pairs_become_atoms(spark):
+    odds = spark.createDataFrame([(f"v{v}", t, 10_000.0 * (1 + t % 4)) for v in range(3) for t in range(45)], "vessel string, time long, dist_m double")
+    batches, every = built(spark, distances=odds), built(spark)
+    chance = {(r["vessel"], r["time"]): 1 - 10_000.0 / r["dist_m"] for r in odds.collect()}
+
+    def stays(r):
+        if r["hle"] not in OPTIONS.point_events or (r["vessels"][0], r["time"]) not in chance:
+            return True
+        text = f"{r['vessels'][0]}|{r['time']}|{r['hle']}|{r['seq']}|0"
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2**32 > chance[r["vessels"][0], r["time"]]
+
+    key = ("batch_id", "seq", "side", "time")
+    kept = sorted(tuple(r[k] for k in key) for r in batches.inside.collect())
+    assert kept == sorted(tuple(r[k] for k in key) for r in every.inside.collect() if stays(r))
+    assert 0 < len(kept) < every.inside.count()
+    # A draw takes an MD5; none stands above the expansion of the pairs.
+    text = batches.inside._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in text[: text.index("Generate")].lower()
+
+
+def test_atoms_are_counted_without_a_row_each(spark):
+    odds = spark.createDataFrame([(f"v{v}", t, 10_000.0 * (1 + t % 4)) for v in range(3) for t in range(45)], "vessel string, time long, dist_m double")
+    batches = built(spark, distances=odds)
+    counts = V.atom_counts(batches)
+    want = V.example_atoms(batches).groupBy("batch_id", "role", "name").count()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    assert "explode(_inside" not in text and "explode(_inside" in want._jdf.queryExecution().executedPlan().toString()
+
+
 def test_coast_file_and_spelling_reach_the_program(spark, tmp_path):
     (tmp_path / "HLEs").mkdir()
     lines = [f"gap_start|{t}|{t}|v{t % 2}" for t in range(10, 40)]
