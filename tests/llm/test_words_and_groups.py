@@ -235,3 +235,59 @@ def test_recall_does_not_hang_on_the_number_of_texts():
     keys = [S.band_keys(np.hstack((common, o)).ravel(), np.full(pairs, 180), S.SIMILAR) for o in own]
     assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.998
     assert (keys[0] == keys[1]).mean() == pytest.approx(0.8**5, abs=0.02)
+
+
+def test_tries_link_sets_at_the_stated_share():
+    """Of pairs of sets at a similarity of 0.8 the tries of the near-duplicate search meet as many as the law says."""
+    rng = np.random.default_rng(10)
+    pairs, search = 1500, S.SIMILAR.search
+    common, own = rng.integers(0, 1 << 63, (pairs, 160), np.uint64), rng.integers(0, 1 << 63, (2, pairs, 20), np.uint64)
+    prints = [S.majorities(np.hstack((common, o)).ravel(), np.full(pairs, 180), S.SIMILAR.bits) for o in own]
+    apart = S.differing(np.vstack(prints), np.arange(pairs), np.arange(pairs) + pairs)
+    assert apart.mean() / S.SIMILAR.bits == pytest.approx(np.arccos(160 / 180) / np.pi, abs=0.01)
+    met = np.zeros(pairs, bool)
+    for t in range(search.tries):
+        x, y = (S.trie_keys(p, t * S.SIMILAR.bits // search.tries) >> np.uint64(64 - search.depth) for p in prints)
+        met |= (x >> np.uint64(search.depth - search.first) == y >> np.uint64(search.depth - search.first)) & (np.bitwise_count(x ^ y) <= search.early)
+    assert (met & (apart <= search.budget)).mean() >= 0.999
+
+
+@pytest.mark.parametrize("leaf", [33, 1 << 16])
+def test_wide_tries_like_all_pairs(leaf):
+    """Long fingerprints with few early differences, whether node pairs are walked far or compared at once."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (40, 4), np.uint64)
+    values = np.repeat(base, 8, axis=0)
+    values ^= rng.integers(0, 1 << 63, values.shape, np.uint64) & rng.integers(0, 1 << 63, values.shape, np.uint64) & rng.integers(0, 1 << 63, values.shape, np.uint64)
+    search = S.Search(budget=60, tries=1, early=5, depth=24, first=0, leaf=leaf)
+    got = S.join_tries(values, np.zeros(len(values), int), 16, 0, 0, search)
+    keys = S.trie_keys(values, 16) >> np.uint64(40)
+    a, b = np.nonzero(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 5)
+    want = linked_sets_wide(values, a, b, 60)
+    # Neighbours in key order are linked whatever their early bits, so sets may be larger, never smaller.
+    assert all(len(set(got[want == w])) == 1 for w in set(want))
+    every = np.arange(len(values))
+    assert all(got[i] == got[j] for i, j in zip(every, want))
+    assert len(set(got)) > 20
+
+
+def linked_sets_wide(values, a, b, budget):
+    near = S.differing(values, a, b) <= budget
+    return S.merge(np.arange(len(values)), a[near], b[near])
+
+
+def test_near_copies_come_through_the_tries(spark, monkeypatch):
+    """Without links of the trie search no two different texts are compared."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:100], "new", *words[101:]])), (3, " ".join(words))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in S.first_of_groups(frame).collect()] == [1]
+    searches, found = [], S.linked
+
+    def none(prints, how, search):
+        searches.append((prints.count(), how.bits, search))
+        return found(prints, how, search).limit(0)
+
+    monkeypatch.setattr(S, "linked", none)
+    assert sorted(r["doc_id"] for r in S.first_of_groups(frame).collect()) == [1, 2]
+    assert searches == [(2, S.SIMILAR.bits, S.SIMILAR.search)]

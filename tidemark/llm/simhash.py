@@ -34,13 +34,17 @@ class Search:
     Each of ``tries`` tries starts at another bit. Partners must agree on a trie's first bits, as many as the number of
     fingerprints asks for but at most bits / tries, and differ in at most ``early`` of its first ``depth`` bits.
     With tries = budget + 1, early = budget and depth = 64 some trie has every linked pair (a pair differs in no bit of
-    at least one of budget + 1 blocks), so the search is exact. Fewer tries than that trade recall for work.
+    at least one of budget + 1 blocks), so the search is exact. Fewer tries than that trade recall for work; they set
+    ``first``, the bits that partners agree on in a trie, so that the recall is the same for any number of fingerprints.
+    Node pairs of at most ``leaf`` pairs of fingerprints are compared, not walked further.
     """
 
     budget: int = 2
     tries: int = 3
     early: int = 2
     depth: int = 64
+    first: int | None = None
+    leaf: int = 32
 
 
 EXACT = Search()
@@ -50,8 +54,11 @@ EXACT = Search()
 class Similar:
     """Which texts are near: sets of distinct ``shingle``-word runs with a Jaccard similarity of at least ``share`` / 10.
 
-    Two texts are compared if one of ``bands`` bands of ``rows`` MinHash values is equal in both. A pair of similarity s is
-    compared with probability 1 - (1 - s ** rows) ** bands, whatever the number of texts: 99.99 % at 0.8, 1 - 1e-6 at 0.85.
+    Texts are compared if links of a trie search connect the SimHash fingerprints of their sets, ``bits`` long. At a similarity
+    of 0.8 a bit differs with probability 0.151 (0.1875 for sets of four and five), so by the binomial law the search links
+    more than 99.99 % of such pairs itself (99.7 %), more above, whatever the number of texts.
+
+    ``bands`` and ``rows`` are those of ``band_keys``, which no search uses.
     """
 
     shingle: int = 5
@@ -59,6 +66,8 @@ class Similar:
     share: int = 8
     bands: int = 24
     rows: int = 5
+    bits: int = 256
+    search: Search = Search(budget=72, tries=32, early=5, depth=24, first=8, leaf=1 << 16)
 
 
 SIMILAR = Similar()
@@ -66,8 +75,8 @@ SIMILAR = Similar()
 #: Fingerprints wanted in a task of the join, and the most of one trie node before it is split over several tasks.
 _WANTED, _MOST = 4_000, 60_000
 
-#: Rows and shingles of a chunk of texts whose sets are compared in one task.
-_ROWS, _ELEMENTS = 1_024, 1_000_000
+#: Rows and shingles of a chunk of texts whose sets are compared in one task, and the rows that every chunk is compared with.
+_ROWS, _ELEMENTS, _HEADS = 1_024, 1_000_000, 4
 
 
 def shingles_of(data: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +101,23 @@ def shingles_of(data: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.nd
 
 def fingerprints_of(data: list[bytes], how: Fingerprints) -> np.ndarray:
     """The fingerprints of texts as rows of big-endian 64-bit words."""
-    n_words = how.bits // 64
-    hashed, counts = shingles_of(data, how.shingle, how.seed)
-    out = np.zeros((len(data), n_words), dtype=np.uint64)
-    for w in range(n_words):
+    return majorities(*shingles_of(data, how.shingle, how.seed), how.bits)
+
+
+def majorities(hashed: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprints of ``bits`` bits as rows of 64-bit words, of hashes text after text and how many each text has."""
+    out = np.zeros((counts.size, bits // 64), dtype=np.uint64)
+    for w in range(bits // 64):
         out[:, w] = _majority(hashed if w == 0 else mix(hashed ^ np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))), counts)
     return out
 
 
+def as_binary(values: np.ndarray) -> pa.Array:
+    """Fingerprints as binary values, the most significant byte first."""
+    rows, width = values.astype(">u8").tobytes(), 8 * values.shape[1]
+    return pa.array([rows[i : i + width] for i in range(0, len(rows), width)], pa.binary())
+
+
 def _places(joined: bytes, size: np.ndarray) -> tuple[np.ndarray, str | None]:
     """Where each word starts in the joined words. Texts without words leave an extra space behind."""
     inside = SOLID[np.frombuffer(joined, dtype=np.uint8)] if joined else np.zeros(0, bool)
@@ -144,10 +162,7 @@ def with_fingerprints(docs: DataFrame, text: str, how: Fingerprints, name: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, len(others)):
-            values = fingerprints_of(encoded(batch.column(len(others)).to_pylist()), how)
-            rows = values.astype(">u8").tobytes()
-            width = how.bits // 8
-            column = pa.array([rows[i : i + width] for i in range(0, len(rows), width)], pa.binary())
+            column = as_binary(fingerprints_of(encoded(batch.column(len(others)).to_pylist()), how))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*others, name])
 
     return frame.mapInArrow(run, out_schema)
@@ -214,10 +229,11 @@ def join_tries(
         a0, a1, b0, b1 = nodes.T
         same = (pure[a0] >= a1) & (pure[b0] >= b1) & (labels[a0] == labels[b0])
         size = (a1 - a0) * (b1 - b0)
-        leaf = ~same & ((size <= 32) | (depth >= search.depth))
+        leaf = ~same & ((size <= search.leaf) | (depth >= search.depth))
         if leaf.any():
             before = labels
-            for x, y in _leaf_pairs(nodes[leaf], own):
+            pairs = _leaf_pairs(nodes[leaf], own) if search.leaf <= 32 else _early_pairs(nodes[leaf], (keys >> np.uint64(64 - search.depth)).astype(np.uint32), search)
+            for x, y in pairs:
                 ok = differing(values, x, y) <= search.budget
                 labels = merge(labels, x[ok], y[ok])
             if labels is not before and (labels != before).any():
@@ -268,6 +284,18 @@ def _leaf_pairs(nodes: np.ndarray, own: bool, most: int = 1 << 20) -> Iterator[t
             yield x[keep], y[keep]
 
 
+def _early_pairs(nodes: np.ndarray, prefixes: np.ndarray, search: Search, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of the leaf node pairs whose prefixes differ in no more bits than the walk allows, some ``most`` pairs at a time."""
+    for a0, a1, b0, b1 in nodes:
+        step = max(1, most // int(b1 - b0))
+        for lo in range(a0, a1, step):
+            hi = min(a1, lo + step)
+            places = np.flatnonzero(np.bitwise_count(prefixes[lo:hi, None] ^ prefixes[None, b0:b1]) <= search.early)
+            x, y = lo + places // (b1 - b0), b0 + places % (b1 - b0)
+            keep = x < y
+            yield x[keep], y[keep]
+
+
 def _bounded(nodes: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A node pair of more than ``most`` pairs is cut into strips of its first node."""
     small = sizes <= most
@@ -288,7 +316,7 @@ def linked(prints: DataFrame, how: Fingerprints, search: Search) -> DataFrame:
     gathers an unbounded group. A task puts out a spanning forest of what it found, never all pairs of a group.
     """
     total = prints.count()
-    shared = min(at_least(total, _WANTED), how.bits // search.tries)
+    shared = min(at_least(total, _WANTED), how.bits // search.tries) if search.first is None else search.first
     starts = [t * how.bits // search.tries for t in range(search.tries)]
     rows = prints.select(
         "fp",
@@ -411,7 +439,7 @@ def band_keys(hashed: np.ndarray, counts: np.ndarray, how: Similar) -> np.ndarra
 
 
 def _sketches(docs: DataFrame, how: Similar) -> DataFrame:
-    """(row, id, sig, n, keys) of (row, id, text): ``sig`` is 128 bits of the set of shingles, ``n`` its size."""
+    """(row, id, sig, n, fp) of (row, id, text): ``sig`` is 128 bits of the set of shingles, ``n`` its size, ``fp`` its SimHash."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,12 +447,10 @@ def _sketches(docs: DataFrame, how: Similar) -> DataFrame:
             hashed, counts = sets_of(encoded(batch.column(2).to_pylist()), how)
             ends = np.cumsum(counts)
             sigs = [xxhash.xxh3_128_digest(hashed[a:b].tobytes()) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-            keys = pa.array(band_keys(hashed, counts, how).ravel().view(np.int64))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(counts.size + 1) * how.bands, pa.int32()), keys)
-            columns = [batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64()), listed]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "sig", "n", "keys"])
+            columns = [pa.array(sigs, pa.binary()), pa.array(counts, pa.int64()), as_binary(majorities(hashed, counts, how.bits))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "id", "sig", "n", "fp"])
 
-    return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, sig binary, n bigint, keys array<bigint>")
+    return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, sig binary, n bigint, fp binary")
 
 
 def parity_bits(hashed: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -444,20 +470,20 @@ def parity_bits(hashed: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [packed[i:j].tobytes() for i, j in zip(((ends - length) // 8).tolist(), (ends // 8).tolist())]
 
 
-def _whole_sets(docs: DataFrame, asked: DataFrame, how: Similar) -> DataFrame:
-    """(row, n, s, k, p) of the asked rows: size and elements of a text's set, its band keys and its parities, as bytes."""
+def _whole_sets(docs: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
+    """(key, i, row, n, s, p) of the members: size and elements of a text's set and its parities, as bytes."""
+    names = ["key", "i", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            hashed, counts = sets_of(encoded(batch.column(1).to_pylist()), how)
+        for batch in pieces(batches, 3):
+            hashed, counts = sets_of(encoded(batch.column(3).to_pylist()), how)
             ends = np.cumsum(counts)
             sets = [hashed[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
-            keys = [k.tobytes() for k in band_keys(hashed, counts, how)]
-            columns = [pa.array(x, pa.binary()) for x in (sets, keys, parity_bits(hashed, counts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *columns], ["row", "n", "s", "k", "p"])
+            columns = [pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, parity_bits(hashed, counts)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], [*names, "n", "s", "p"])
 
-    wanted = docs.select("row", "text").join(asked.select("row").distinct(), "row", "left_semi")
-    return wanted.mapInArrow(run, "row bigint, n bigint, s binary, k binary, p binary")
+    wanted = docs.select("row", "text").join(members.select(*names), "row").select(*names, "text")
+    return wanted.mapInArrow(run, "key bigint, i int, row bigint, n bigint, s binary, p binary")
 
 
 def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], width: int = 2048) -> np.ndarray:
@@ -485,13 +511,10 @@ def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return out
 
 
-def asked_pairs(
-    band: int, side: np.ndarray, root: np.ndarray, sizes: np.ndarray, keys: np.ndarray, how: Similar
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def asked_pairs(side: np.ndarray, root: np.ndarray, sizes: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places x, y and which pairs of them a task compares: side 0 with side 1, or side 0 with itself.
 
-    Pairs of one root are connected already, sizes too far apart cannot be near, and a pair that shares an earlier band is
-    left to the task of that one. Places without a pair are left out.
+    Pairs of one root are connected already, and sizes too far apart cannot be near.
     """
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     own = not y.size
@@ -500,9 +523,11 @@ def asked_pairs(
     if own:
         asked &= x[:, None] < y[None, :]
     low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
-    asked &= 10 * low >= how.share * high
-    for b in range(band):
-        asked &= keys[x, b][:, None] != keys[y, b][None, :]
+    return _used(x, y, asked & (10 * low >= how.share * high))
+
+
+def _used(x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the places that are in no pair."""
     rows, columns = asked.any(axis=1), asked.any(axis=0)
     return x[rows], y[columns], asked[np.ix_(rows, columns)]
 
@@ -532,19 +557,24 @@ def _folded(parities: list[bytes], size: int) -> np.ndarray:
     return words
 
 
-def near_within(band: int, side: np.ndarray, root: np.ndarray, sets: list[bytes], keys: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as places (a, b), of the near pairs that a task compares."""
-    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
-    x, y, asked = asked_pairs(band, side, root, sizes, keys, how)
+def near_within(
+    side: np.ndarray, root: np.ndarray, sets: list[bytes], parities: list[bytes], how: Similar
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest, as places (a, b), of the near pairs that a task compares, and how many near partners each place has."""
+    sizes, partners = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets)), np.zeros(len(sets), np.int64)
+    x, y, asked = asked_pairs(side, root, sizes, how)
+    x, y, asked = _used(x, y, may_be_near(x, y, asked, sizes, parities, how))
     if not x.size:
-        return x, y
+        return x, y, partners
     a, b = ((np.frombuffer(b"".join([sets[i] for i in z]), np.uint64), sizes[z]) for z in (x, y))
     common = common_counts(a, b)
     near = asked & (10 * common >= how.share * (a[1][:, None] + b[1][None, :] - common))
+    partners[x] += near.sum(axis=1)
+    partners[y] += near.sum(axis=0)
     i, j = np.nonzero(near)
     labels = merge(np.arange(len(sets)), x[i], y[j])
     moved = np.flatnonzero(labels != np.arange(labels.size))
-    return moved, labels[moved]
+    return moved, labels[moved], partners
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[int], pa.Table]]:
@@ -567,45 +597,42 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         yield last, pa.Table.from_batches(held)
 
 
-_TASK = ["band", "key", "i", "j"]
-
-
-def _task_keys(table: pa.Table, how: Similar) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("k").to_pylist()), np.uint64).reshape(-1, how.bands)
+_TASK = ["key", "i", "j"]
 
 
 def _promising(deals: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
     """The deals whose row has a partner in its task that sizes and parities leave open; no near pair is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, *_), table in _by_key(batches, _TASK):
+        for _, table in _by_key(batches, _TASK):
             side, root, n = (table.column(c).to_numpy() for c in ("side", "root", "n"))
-            x, y, asked = asked_pairs(band, side, root, n, _task_keys(table, how), how)
+            x, y, asked = asked_pairs(side, root, n, how)
+            x, y, _ = _used(x, y, may_be_near(x, y, asked, n, table.column("p").to_pylist(), how))
             if x.size:
-                still = may_be_near(x, y, asked, n, table.column("p").to_pylist(), how)
-                places = np.union1d(x[still.any(axis=1)], y[still.any(axis=0)])
-                if places.size:
-                    yield from table.select([*_TASK, "side", "row", "root"]).take(pa.array(places)).to_batches()
+                yield from table.select([*_TASK, "side", "row", "root"]).take(pa.array(np.union1d(x, y))).to_batches()
 
-    dealt = deals.join(sets.select("row", "n", "k", "p"), "row").repartition(*_TASK).sortWithinPartitions(*_TASK)
-    return dealt.select(*_TASK, "side", "row", "root", "n", "k", "p").mapInArrow(run, deals.select(*_TASK, "side", "row", "root").schema)
+    dealt = deals.join(sets.select("row", "n", "p"), "row").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return dealt.select(*_TASK, "side", "row", "root", "n", "p").mapInArrow(run, deals.select(*_TASK, "side", "row", "root").schema)
 
 
-def _verified(deals: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
-    """Links (a, b) that connect the near pairs of every task (band, key, i, j) of (band, key, i, j, side, row, root).
+def _verified(tasks: DataFrame, how: Similar) -> DataFrame:
+    """Links (a, b) that connect the near pairs of every task (key, i, j) of (key, i, j, side, row, root, s, p).
 
-    A set goes once to each task that its row is dealt to; a task compares inside and puts out a spanning forest.
+    A set goes once to each task that its row is dealt to; a task compares inside and puts out a spanning forest. A link
+    without ``b`` names the row with the most near partners in its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, *_), table in _by_key(batches, _TASK):
+        for key, table in _by_key(batches, _TASK):
             row, side, root = (table.column(c).to_numpy() for c in ("row", "side", "root"))
-            a, b = near_within(band, side, root, table.column("s").to_pylist(), _task_keys(table, how), how)
+            a, b, partners = near_within(side, root, table.column("s").to_pylist(), table.column("p").to_pylist(), how)
             if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["a", "b"])
+                links = [pa.array([*row[a].tolist(), int(row[partners.argmax()])], pa.int64()), pa.array([*row[b].tolist(), None], pa.int64())]
+                whose = [pa.array([k] * (a.size + 1), kind) for k, kind in zip(key, (pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*links, *whose], ["a", "b", "key", "i"])
 
-    dealt = deals.join(sets.select("row", "s", "k"), "row").repartition(*_TASK).sortWithinPartitions(*_TASK)
-    return dealt.select(*_TASK, "side", "row", "root", "s", "k").mapInArrow(run, "a bigint, b bigint")
+    dealt = tasks.repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return dealt.select(*_TASK, "side", "row", "root", "s", "p").mapInArrow(run, "a bigint, b bigint, key bigint, i int")
 
 
 def _chunks(rows: Column, elements: Column) -> Column:
@@ -614,13 +641,14 @@ def _chunks(rows: Column, elements: Column) -> Column:
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
-    """Links (a, b) between rows of (row, text) that connect all near pairs that share a band.
-
-    ``sketches`` holds a row of each distinct set. First every row of a band is compared with the central row there, the one
-    whose bands hold the most rows: a text that others were made from. Then all pairs of a band are compared whose rows
-    these links have not connected, each pair in the first band it shares. Bands are cut into chunks, pairs of chunks go to
-    tasks, and no pair becomes a row. Tasks see parities first, which rule most pairs out for certain; the sets of rows with
-    a pair left open are then compared whole, so no link stands on an estimate.
+    """Links (a, b) between rows of (row, text) that connect all near pairs whose fingerprints the trie search connects.
+
+    ``sketches`` holds a row of each distinct set. The tries join the fingerprints and put out forests, whose components are
+    the candidates. Within a component all pairs of texts that links have not connected are compared by their whole sets, so
+    no link stands on an estimate; parities rule most other pairs out for certain. A component is cut into chunks and a set
+    goes once to the task of its chunk. Only components of several chunks go on: their rows meet the rows with the most near
+    partners of some chunks, and then, where links have not connected all of them, pairs of chunks go to tasks; tasks see
+    parities first, and only sets of rows with a pair left open are sent. No pair becomes a row.
     """
     spark, made = docs.sparkSession, []
 
@@ -629,40 +657,45 @@ def near_links(docs: DataFrame, sketches: DataFrame, how: Similar) -> DataFrame:
         made.append(path)
         return stored
 
-    bucket = ["band", "key"]
-    rows = kept(sketches.select("row", "n", F.posexplode("keys").alias("band", "key")), "bands")
-    counts = kept(rows.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1"), "counts")
-    members = kept(rows.join(counts, bucket), "members")
-    central = kept(members.groupBy("row").agg(F.sum("m").alias("central")), "central")
-    heads = members.join(central, "row").groupBy(*bucket).agg(F.max(F.struct("central", -F.col("row"), "n")).alias("x"))
-    heads = kept(heads.select(*bucket, (-F.col("x.col2")).alias("head"), F.col("x.n").alias("hn")), "heads")
-
-    sized = 10 * F.least("n", "hn") >= how.share * F.greatest("n", "hn")
-    pairs = kept(members.join(heads, bucket).where(sized & (F.col("row") != F.col("head"))).select("row", "n", "head", "hn").distinct(), "pairs")
-    sizes = pairs.groupBy("head").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
-    sizes = kept(sizes, "sizes")
-    one = pairs.join(sizes, "head").select(F.col("head").alias("key"), F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("i"), F.lit(0).alias("side"), "row")
-    top = sizes.select(F.col("head").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(1).alias("side"), F.col("head").alias("row"))
-    deals = kept(one.unionByName(top).select(F.lit(0).alias("band"), "key", "i", F.lit(0).alias("j"), "side", "row", F.col("row").alias("root")), "deals")
+    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("row"), "root")
+        return kept(rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+
+    def compared(deals: DataFrame) -> DataFrame:
+        open_ones = kept(_promising(kept(deals.select(*_TASK, "side", "row", "root"), "deals"), sets, how), "promising")
+        return _verified(open_ones.join(sets.select("row", "s", "p"), "row"), how)
+
+    prints = kept(sketches.groupBy("fp").agg(F.count("*").alias("m")), "prints")
+    found = linked(prints.select("fp"), Fingerprints(how.shingle, how.bits, how.seed), how.search)
+    roots = components(found).select(F.col("node").alias("fp"), "root")
+    kin = prints.join(roots, "fp", "left").where("root is not null or m > 1")
+    kin = kept(kin.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("key")), "kin")
+    members = kept(sketches.join(kin, "fp").select("key", "row", "n"), "members")
+    sizes = kept(members.groupBy("key").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks")), "sizes")
+    members = members.join(sizes, "key").select("key", "chunks", F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("i"), "row")
+    members = kept(members, "members")
     sets = kept(_whole_sets(docs, members, how), "sets")
-    found = stage(_verified(kept(_promising(deals, sets, how), "promising"), sets, how), "near")
-
-    roots = kept(components(found).select(F.col("node").alias("row"), "root"), "roots")
-    members = kept(members.drop("m").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "members")
-    mixed = members.groupBy(*bucket).agg(
-        _chunks(F.count("*"), F.sum("n")).alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    mixed = kept(mixed.where("low <> high").select(*bucket, "chunks"), "mixed")
-    mine, other = F.pmod(F.xxhash64("row"), "chunks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    deals = members.join(mixed, bucket).withColumn("mine", mine).withColumn("other", other)
-    deals = deals.select(
-        *bucket, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"), "row", "root",
-    )
-    deals = kept(_promising(kept(deals, "deals"), sets, how), "promising")
-    found = stage(found.union(_verified(deals, sets, how)), "near")
+    own = sets.select("key", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "row", F.col("row").alias("root"), "s", "p")
+    found = stage(_verified(own, how), "near")
+
+    large = kept(members.where("chunks > 1"), "large")
+    if not large.isEmpty():
+        counted = sizes.where("chunks > 1")
+        heads = found.where((F.col("i") < _HEADS) & F.col("b").isNull()).join(counted, "key").select("key", F.col("a").alias("row"), "chunks")
+        rows = rooted(large, found)
+        heads = heads.join(rows.select("row", "root"), "row").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(1).alias("side"), "row", "root")
+        deals = rows.select("key", "i", F.lit(0).alias("side"), "row", "root").unionByName(heads).withColumn("j", F.lit(-1))
+        found = stage(found.union(compared(deals)), "near")
+
+        rows = rooted(large, found)
+        mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rows = rows.join(mixed.select("key"), "key").withColumnRenamed("i", "mine")
+        deals = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("mine <> other")
+        side = (F.col("mine") > F.col("other")).cast("int")
+        deals = deals.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", side)
+        found = stage(found.union(compared(deals)), "near")
     remove(spark, *made)
-    return found
+    return found.select("a", "b")
 
 
 def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", how: Similar = SIMILAR) -> DataFrame:
@@ -680,7 +713,7 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     sketches, sketched = store(_sketches(worded, how), "sketches")
     owners = stage(sketches.groupBy("sig").agg(F.min("row").alias("node")), "owners")
-    single = sketches.join(owners.select(F.col("node").alias("row")), "row", "left_semi")
+    single, once = store(sketches.join(owners.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "fp"), "single")
     roots = components(near_links(worded, single, how)).select("node", "root")
     owners = stage(owners.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root")), "owners")
     rooted = stage(sketches.select("row", "id", "sig").join(owners, "sig").select("row", "id", "root"), "rooted")
@@ -688,5 +721,5 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     least = stage(least.select("root", F.col("least.row").alias("first")), "least")
     lost = rooted.join(least, "root").where("row <> first").select(F.col("row").alias(row))
     lost = stage(lost, "lost")
-    remove(docs.sparkSession, sketched)
+    remove(docs.sparkSession, sketched, once)
     return docs.join(lost, row, "left_anti").drop(row)
