@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import components as C
 from tidemark.llm import simhash as S
+from tidemark.llm.frames import may_be_in
 from tidemark.llm.words import LETTERS, SOLID, Words, encoded
 
 random.seed(4)
@@ -291,3 +293,12 @@ def test_near_copies_come_through_the_tries(spark, monkeypatch):
     monkeypatch.setattr(S, "linked", none)
     assert sorted(r["doc_id"] for r in S.first_of_groups(frame).collect()) == [1, 2]
     assert searches == [(2, S.SIMILAR.bits, S.SIMILAR.search)]
+
+
+def test_filter_passes_every_id(spark):
+    """The filter lets no listed id go and clears most others, so an exact join behind it gets few rows."""
+    ids = spark.range(0, 30_000, 3)
+    got = spark.range(60_000).withColumn("may", may_be_in(ids, F.col("id"))).toPandas()
+    listed = (got["id"] < 30_000) & (got["id"] % 3 == 0)
+    assert got["may"][listed].all() and got["may"][~listed].mean() < 0.01
+    assert not spark.range(5).withColumn("may", may_be_in(ids.limit(0), F.col("id"))).where("may").count()

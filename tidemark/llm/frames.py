@@ -7,12 +7,18 @@ import math
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import shared_folder, stage_in
 
+#: Fixed size of a filter that goes to the tasks, whatever the number of hashes in it: 2 ** 25 bits, 4 MB.
+FILTER_BITS = 25
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -70,6 +76,35 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20)
         yield batch.slice(begin)
 
 
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash of the column ``h``; at most 2 ** FILTER_BITS / 64 words reach the driver."""
+    bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = hashes.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v"))
+    table = words.toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[table["w"].to_numpy(dtype=np.int64)] = table["v"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = h & np.uint64((1 << FILTER_BITS) - 1)
+    return (filter_[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def may_be_in(ids: DataFrame, column: Column) -> Column:
+    """True for every value that stands in the one column of ``ids``, and for a share of the others; an exact join follows.
+
+    The filter has a fixed size, so that rows with long texts are told apart where they lie instead of being shuffled.
+    """
+    reach_workers(ids.sparkSession)
+    sent = ids.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64(ids.columns[0]).alias("h"))))
+
+    def run(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(sent.value, h.to_numpy().view(np.uint64)))
+
+    return F.pandas_udf(run, "boolean")(F.xxhash64(column))
+
+
 def at_least(n: int, low: int) -> int:
     """Bits so that 2 ** bits groups of ``low`` rows hold ``n`` rows."""
     return max(0, math.ceil(math.log2(max(1, n) / low)))

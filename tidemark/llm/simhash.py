@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import at_least, free_name, pieces, reach_workers, remove, stage, store
+from tidemark.llm.frames import at_least, free_name, may_be_in, pieces, reach_workers, remove, stage, store
 from tidemark.llm.words import SOLID, Words, encoded, mix
 
 _LANES = np.uint64(0x0101010101010101)
@@ -482,7 +482,8 @@ def _whole_sets(docs: DataFrame, members: DataFrame, how: Similar) -> DataFrame:
             columns = [pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, parity_bits(hashed, counts)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], [*names, "n", "s", "p"])
 
-    wanted = docs.select("row", "text").join(members.select(*names), "row").select(*names, "text")
+    wanted = docs.select("row", "text").where(may_be_in(members.select("row"), F.col("row")))
+    wanted = wanted.join(members.select(*names), "row").select(*names, "text")
     return wanted.mapInArrow(run, "key bigint, i int, row bigint, n bigint, s binary, p binary")
 
 
@@ -722,4 +723,6 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lost = rooted.join(least, "root").where("row <> first").select(F.col("row").alias(row))
     lost = stage(lost, "lost")
     remove(docs.sparkSession, sketched, once)
-    return docs.join(lost, row, "left_anti").drop(row)
+    # Only rows that the filter does not clear are joined, so the texts of the others are not shuffled.
+    doubtful = may_be_in(lost, F.col(row))
+    return docs.where(~doubtful).unionByName(docs.where(doubtful).join(lost, row, "left_anti")).drop(row)

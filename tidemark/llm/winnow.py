@@ -10,12 +10,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import free_name, pieces, reach_workers, stage
+from tidemark.llm.frames import bit_filter, free_name, in_filter, pieces, reach_workers, stage
 from tidemark.llm.words import LETTERS, Words, encoded, grams, mix
 
-#: Fixed size of the filter that goes to the tasks, whatever the number of benchmark items: 2 ** 25 bits, 4 MB.
-FILTER_BITS = 25
-
 _SECOND = 0x51
 
 
@@ -107,21 +104,6 @@ def _within(kept: np.ndarray, places: np.ndarray, span: int) -> Iterator[tuple[i
     return zip(low.tolist(), high.tolist())
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash of the column ``h``; at most 2 ** FILTER_BITS / 64 words reach the driver."""
-    bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = hashes.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v"))
-    table = words.toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[table["w"].to_numpy(dtype=np.int64)] = table["v"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
-def _hit(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h & np.uint64((1 << FILTER_BITS) - 1)
-    return (filter_[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Where windows of the items stand in the documents: (rows, hits).
 
@@ -141,8 +123,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
     windows = stage(_item_rows(items.where("text is not null"), window, k), "windows")
     full = windows.where(F.col("length") == window)
     short = windows.where(F.col("length") < window)
-    prints = _filter(full.select(F.explode("prints").alias("h")))
-    ends = _filter(windows.select(F.col("a").alias("h")))
+    prints = bit_filter(full.select(F.explode("prints").alias("h")))
+    ends = bit_filter(windows.select(F.col("a").alias("h")))
     lengths = sorted(r[0] for r in short.select("length").distinct().collect())
     sent: Broadcast = spark.sparkContext.broadcast((prints, ends, lengths))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -152,7 +134,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
         prints, ends, lengths = sent.value
         for batch in pieces(batches, 1):
             p = Prints(batch.column(1).to_pylist(), window, k)
-            hit = p.kept[_hit(prints, p.grams[p.kept])]
+            hit = p.kept[in_filter(prints, p.grams[p.kept])]
             near = np.unique((hit[:, None] - np.arange(window - k + 1)[None, :]).ravel())
             # Windows are those that lie within one text.
             owner = np.searchsorted(p.words.first, near, side="right") - 1
@@ -162,7 +144,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
             found = []
             for places, texts, n in parts:
                 a, b = p.hashes(places, n)
-                good = _hit(ends, a)
+                good = in_filter(ends, a)
                 found.append((texts[good], places[good], np.full(int(good.sum()), n), a[good], b[good]))
             texts, places, n, a, b = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(texts, kind="stable")
