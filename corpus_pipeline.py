@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import pieces, quality, simhash, winnow
-from tidemark.llm.frames import reach_workers, stage
+from tidemark.llm.frames import reach_workers, small_batches, stage
 from tidemark.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,11 +34,22 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.token_digest(docs, piece_model())
 
 
+def _bounded(step: Stage) -> Stage:
+    """The step with small batches for Python workers, of which an executor holds several at once."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality", good_quality),
-    ("near_duplicates", near_duplicates),
-    ("benchmark_passages", benchmark_passages),
-    ("encoding", encoding),
+    ("quality", _bounded(good_quality)),
+    ("near_duplicates", _bounded(near_duplicates)),
+    ("benchmark_passages", _bounded(benchmark_passages)),
+    ("encoding", _bounded(encoding)),
 ]
 
 #: No stage is expressible in SQL.

@@ -5,9 +5,12 @@ import random
 import re
 import struct
 
+import pyarrow as pa
+import pytest
 import sentencepiece
 
 import corpus_pipeline
+from tidemark.llm import winnow
 from tidemark.llm.queries import piece_model
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row long, `root` string, sig string"
@@ -111,3 +114,37 @@ def test_pipeline_like_plain_loops(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("before, most", [("64m", 5 << 20), ("512k", 1 << 20)])
+def test_python_workers_get_small_batches(spark, before, most):
+    docs = spark.range(400, numPartitions=1).selectExpr("id AS doc_id", "concat(id, repeat(' some words', 5000)) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    given = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, before)
+    try:
+        for _, step in corpus_pipeline.STAGES[-1:]:
+            step(spark, docs, "")
+        seen = docs.mapInArrow(sizes, "n long, size long").collect()
+    finally:
+        spark.conf.set(ARROW, given)
+    assert sum(r["n"] for r in seen) == 400
+    assert max(r["size"] for r in seen) <= most
+
+
+def test_only_doubtful_texts_are_joined_with_the_lost_rows(spark):
+    words = [f"w{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 30 :] if i % 7 == 0 else [f"x{i}"] * 20)) for i in range(100)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[30:45]))], "item_id long, text string")
+    out = winnow.without_passages(docs, items)
+    assert {r["doc_id"] for r in out.collect()} == {i for i in range(100) if i % 7}
+    # Both branches, that without a join too, tell rows apart by the filter.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("ArrowEvalPython") >= 2

@@ -19,6 +19,9 @@ from tidemark.session import shared_folder, stage_in
 #: Fixed size of a filter that goes to the tasks, whatever the number of hashes in it: 2 ** 25 bits, 4 MB.
 FILTER_BITS = 25
 
+#: Bytes of rows that a Python worker gets at once; the rows of a batch lie in the memory of the executor and of its worker.
+BATCH_BYTES = 4 << 20
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -29,6 +32,17 @@ def reach_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, known]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends rows to Python workers in batches of ``BATCH_BYTES`` at most, or of one row, instead of 64 MB; a lower setting stays.
+
+    The setting is read when a frame runs, so it stays set. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(name, None)
+    if known is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(known) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def stage(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame stored in the shared folder and read back: no lineage, nothing kept on an executor."""
     reach_workers(frame.sparkSession)
@@ -105,6 +119,15 @@ def may_be_in(ids: DataFrame, column: Column) -> Column:
     return F.pandas_udf(run, "boolean")(F.xxhash64(column))
 
 
+def without_rows(docs: DataFrame, lost: DataFrame, row: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row`` is not in the one column of ``lost``, called ``row`` too; store both before.
+
+    Only rows that the filter does not clear are joined, so the texts of the others are not shuffled.
+    """
+    doubtful = may_be_in(lost, F.col(row))
+    return docs.where(~doubtful).unionByName(docs.where(doubtful).join(lost, row, "left_anti"))
+
+
 def at_least(n: int, low: int) -> int:
     """Bits so that 2 ** bits groups of ``low`` rows hold ``n`` rows."""
     return max(0, math.ceil(math.log2(max(1, n) / low)))

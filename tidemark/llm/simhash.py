@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import at_least, free_name, may_be_in, pieces, reach_workers, remove, stage, store
+from tidemark.llm.frames import at_least, free_name, may_be_in, pieces, reach_workers, remove, stage, store, without_rows
 from tidemark.llm.words import SOLID, Words, encoded, mix
 
 _LANES = np.uint64(0x0101010101010101)
@@ -723,6 +723,4 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lost = rooted.join(least, "root").where("row <> first").select(F.col("row").alias(row))
     lost = stage(lost, "lost")
     remove(docs.sparkSession, sketched, once)
-    # Only rows that the filter does not clear are joined, so the texts of the others are not shuffled.
-    doubtful = may_be_in(lost, F.col(row))
-    return docs.where(~doubtful).unionByName(docs.where(doubtful).join(lost, row, "left_anti")).drop(row)
+    return without_rows(docs, lost, row).drop(row)

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import bit_filter, free_name, in_filter, pieces, reach_workers, stage
+from tidemark.llm.frames import bit_filter, free_name, in_filter, pieces, reach_workers, stage, without_rows
 from tidemark.llm.words import LETTERS, Words, encoded, grams, mix
 
 _SECOND = 0x51
@@ -210,5 +210,5 @@ def without_passages(docs: DataFrame, items: DataFrame, window: int = 10, k: int
     row = free_name(docs, "_row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows, hits = occurrences(numbered.select(F.col(row).alias("doc_id"), "text"), items.select("item_id", "text"), window, k)
-    lost = hits.join(rows.select(F.col("row"), F.col("doc_id").alias(row)), "row").select(row).distinct()
-    return numbered.join(lost, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    lost = stage(hits.join(rows.select(F.col("row"), F.col("doc_id").alias(row)), "row").select(row).distinct(), "lost")
+    return without_rows(numbered, lost, row).select(*[f"`{c}`" for c in docs.columns])
