@@ -1,9 +1,13 @@
 """Results and work that must not change where a group grows."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import examples
+from tidemark.session import stage_in
 from tidemark.sources import tables
+from workload.queries import QUERIES
 
 
 def test_parts_of_a_dataset_make_one_text(spark):
@@ -23,3 +27,29 @@ def test_rows_are_numbered_over_the_files_of_a_folder(spark, tmp_path):
     read = tables.read_matrix(spark, str(tmp_path / "m"), F.col("subject").cast("string"), {"code": 1}, in_files=True)
     got = {(r["subject"], r["time"]): r["code"] for r in read.collect()}
     assert got == {(str(n % 2), n // 2): f"r{n}" for n in range(40)}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_stored_frame_go_at_once(spark):
+    before = shuffle_files(spark)
+    frame = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    stored = stage_in(spark)(frame)
+    until = time.time() + 20
+    # The frame is still held here, so the driver's garbage collection would leave them.
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, frame.collect()))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_containment_queries_store_their_intervals(spark):
+    for name in ("contain_join", "noise_interval"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+        # The successor of every event is looked up before, so its shuffles are gone when the join runs.
+        assert "Window" not in plan
