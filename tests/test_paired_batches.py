@@ -223,3 +223,22 @@ def test_a_dense_batch_is_one_row_as_its_sql_says(spark, tmp_path):
     found = V.batch_examples(batches, QUERY_OPTIONS, stage_in(spark)).collect()
     assert [r["part"] for r in found] == [0] and [len(r["annotation"]) + len(r["narrative"]) for r in found] == spread
     assert QUERY_OPTIONS.max_atoms is None
+
+
+def test_neighbouring_batches_are_dealt_together(spark):
+    batches = built(spark, replace(OPTIONS, max_atoms=None, size=2))
+    number = batches.bounds.count()
+    assert number >= 8
+
+    def rows(some, whole):
+        out = V._gathered(some, 1, whole).select("batch_id", "batch_start", "_times", *[V._batch_list(r).alias(r) for r in ("annotation", "narrative")])
+        return sorted(out.collect())
+
+    together, alone = rows(batches, True), rows(batches, False)
+    assert together == alone and len(together) == number
+    assert rows(V.before(batches, 5), True) == [r for r in alone if r["batch_id"] < 5]
+    # An interval moves once for several batches, and no text of atoms moves.
+    dealt = [V._dealt(batches, 1, whole)._jdf.queryExecution().optimizedPlan().toString() for whole in (True, False)]
+    assert all("holdsAt" not in text and "happensAt" not in text for text in dealt)
+    listed = batches.spans.selectExpr("sum(floor(end / 2) - floor(begin / 2) + 1)").first()[0]
+    assert listed < batches.met.count()

@@ -4,9 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from tidemark.config import BatchOptions
 from tidemark.operators import examples
 from tidemark.session import stage_in
 from tidemark.sources import tables
+from tidemark.streaming.minibatches import TimeBatchStream
 from workload.queries import QUERIES
 
 
@@ -53,3 +55,14 @@ def test_containment_queries_store_their_intervals(spark):
         assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
         # The successor of every event is looked up before, so its shuffles are gone when the join runs.
         assert "Window" not in plan
+
+
+def test_a_folder_of_intervals_gets_few_files(spark, tmp_path):
+    wide = TimeBatchStream._SLICE
+    rows = [(i, "stopped", ["v0"], "true", i % 40 * wide + i, i % 40 * wide + i + 5) for i in range(400)]
+    spans = spark.createDataFrame(rows, "seq long, hle string, vessels array<string>, value string, stime long, etime long").repartition(8)
+    stream = TimeBatchStream(spark, spans, BatchOptions(), str(tmp_path / "s"), str(tmp_path / "o"))
+    assert {r["seq"] for r in stream.met_intervals(0, None).collect()} == set(range(400))
+    files = list((tmp_path / "s" / "intervals").glob("first=*/length=*/*.parquet"))
+    # Eight tasks with a file for each of 40 slices made 320.
+    assert 40 <= len(files) <= 50
